@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, simhash
+from . import license_scan, simhash, warc
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,16 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, with repeated payloads resolved, and read back."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_license": op2_license,
+        "op3_warc": op3_warc,
     }
 
 
