@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, simhash, warc
+from . import language_id, license_scan, simhash, warc
 from .common import scratch_path
 
 
@@ -30,11 +31,20 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = docs.withColumn("held_out", language_id.held_out("doc_id"))
+    model = language_id.fit(held.where(~F.col("held_out")))
+    return language_id.classify(held, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_license": op2_license,
         "op3_warc": op3_warc,
+        "op4_language": op4_language,
     }
 
 
