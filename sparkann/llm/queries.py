@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, simhash, warc
+from . import language_id, license_scan, simhash, url_filter, warc
 from .common import scratch_path
 
 
@@ -39,12 +39,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(held, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op7_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_license": op2_license,
         "op3_warc": op3_warc,
         "op4_language": op4_language,
+        "op7_url": op7_url,
     }
 
 
