@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, simhash, url_filter, warc
+from . import language_id, license_scan, simhash, toxicity, url_filter, warc
 from .common import scratch_path
 
 
@@ -44,6 +44,13 @@ def op7_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by weights learnt from labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out("doc_id"))
+    weights = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights, keep=("held_out",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -51,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_language": op4_language,
         "op7_url": op7_url,
+        "op8_toxicity": op8_toxicity,
     }
 
 
