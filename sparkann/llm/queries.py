@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, quality, simhash, toxicity, url_filter, warc
+from . import language_id, license_scan, packing, quality, simhash, toxicity, url_filter, warc
 from .common import scratch_path
 
 
@@ -51,6 +51,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights, keep=("held_out",))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdicts of all documents."""
     return quality.figures(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op7_url": op7_url,
         "op8_toxicity": op8_toxicity,
+        "op9_packing": op9_packing,
         "op10_quality": op10_quality,
     }
 
