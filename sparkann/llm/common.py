@@ -92,3 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(drawn.select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b")).distinct(), f"edges{turn}")
         turn += 1
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+
+
+def told(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has so many rows at most; else df as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

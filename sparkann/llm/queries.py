@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, order_minhash, packing, quality, simhash, toxicity, url_filter, warc
+from . import language_id, license_scan, mixing, order_minhash, packing, quality, simhash, toxicity, url_filter, warc
 from .common import scratch_path
 
 
@@ -39,6 +39,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(held, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all documents takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return order_minhash.compare(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license": op2_license,
         "op3_warc": op3_warc,
         "op4_language": op4_language,
+        "op5_mixing": op5_mixing,
         "op6_order_minhash": op6_order_minhash,
         "op7_url": op7_url,
         "op8_toxicity": op8_toxicity,
