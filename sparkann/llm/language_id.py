@@ -26,7 +26,7 @@ DICT_BYTES, SAMPLE_ROWS, SLICE_BYTES = 64 << 10, 256, 1 << 10
 #: Bytes of a piece of text; zstandard's level.
 PIECE, LEVEL = 4 << 10, 6
 #: A prediction is rejected if the second language's size exceeds the best one's by less than this share.
-MARGIN = 0.01
+MARGIN = 0.005
 UNDETERMINED = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
