@@ -36,6 +36,11 @@ class Graph(NamedTuple):
         return self.links[self.starts[i] : self.starts[i + 1]]
 
 
+def distances(g: Graph, nodes: list[int] | np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared L2 of nodes to q, added from left to right as the column functions do."""
+    return np.cumsum((g.vectors[nodes] - q) ** 2, 1)[:, -1]
+
+
 def load(vectors: DataFrame, edges: DataFrame) -> Graph:
     """Gathers a graph for the per-query form; ValueError if it is larger than MAX_GRAPH_BYTES. Links to unknown nodes are left out."""
     n, dim = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -81,7 +86,7 @@ def dst_search(g: Graph, q: np.ndarray, entry: int, ef: int, cq: int = 32, mc: i
             visited += len(fresh)
             if not fresh:
                 continue
-            d = ((g.vectors[fresh] - q) ** 2).sum(1)
+            d = distances(g, fresh, q)
             for x, dist in zip(fresh, d.tolist(), strict=True):
                 if traced:
                     steps.append((len(steps), int(g.ids[c]), int(g.ids[x]), dist))
@@ -123,7 +128,7 @@ def _insert(queue: list[tuple[float, int]], item: tuple[float, int], cap: int) -
 def layer_search(g: Graph, q: np.ndarray, entry: int, ef: int, allowed: set[int] | None = None) -> Found:
     """HNSW's base-layer search: the entry is scored and returned, candidates are unbounded. Nodes outside allowed (ids) are walked through, never returned."""
     first = g.at(entry)
-    d0 = float(((g.vectors[first] - q) ** 2).sum())
+    d0 = float(distances(g, [first], q)[0])
     ok = (lambda x: allowed is None or int(g.ids[x]) in allowed)
     result = [(-d0, -first)] if ok(first) else []
     heap, seen, hops = [(d0, first)], {first}, 0
@@ -136,7 +141,7 @@ def layer_search(g: Graph, q: np.ndarray, entry: int, ef: int, allowed: set[int]
         seen.update(fresh)
         if not fresh:
             continue
-        for x, dist in zip(fresh, ((g.vectors[fresh] - q) ** 2).sum(1).tolist(), strict=True):
+        for x, dist in zip(fresh, distances(g, fresh, q).tolist(), strict=True):
             if len(result) < ef or dist < -result[0][0]:
                 heapq.heappush(heap, (dist, x))
                 if ok(x):
@@ -152,12 +157,12 @@ def greedy_descent(layers: dict[int, Graph], q: np.ndarray, entry: int) -> int:
     for level in sorted(layers, reverse=True):
         g = layers[level]
         at = g.at(here)
-        best = float(((g.vectors[at] - q) ** 2).sum())
+        best = float(distances(g, [at], q)[0])
         while True:
             near = g.of(at)
             if not len(near):
                 break
-            d = ((g.vectors[near] - q) ** 2).sum(1)
+            d = distances(g, near, q)
             k = int(d.argmin())
             if not d[k] < best:
                 break
@@ -169,7 +174,7 @@ def greedy_descent(layers: dict[int, Graph], q: np.ndarray, entry: int) -> int:
 def pool_search(g: Graph, q: np.ndarray, entry: int, ef: int) -> Found:
     """NSG's search: one pool of the ef nearest with flags; the first one not expanded is next, going back to wherever something new was put."""
     first = g.at(entry)
-    pool = [(float(((g.vectors[first] - q) ** 2).sum()), first)]
+    pool = [(float(distances(g, [first], q)[0]), first)]
     done, seen, k, hops = set(), {first}, 0, 0
     while k < len(pool):
         back = k + 1
@@ -180,7 +185,7 @@ def pool_search(g: Graph, q: np.ndarray, entry: int, ef: int) -> Found:
             fresh = [x for x in dict.fromkeys(g.of(node).tolist()) if x not in seen]
             seen.update(fresh)
             if fresh:
-                for x, dist in zip(fresh, ((g.vectors[fresh] - q) ** 2).sum(1).tolist(), strict=True):
+                for x, dist in zip(fresh, distances(g, fresh, q).tolist(), strict=True):
                     if len(pool) == ef and not dist < pool[-1][0]:
                         continue
                     _insert(pool, (dist, x), ef)
