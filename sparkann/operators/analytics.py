@@ -81,8 +81,8 @@ def latency_summary(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     the sorted array; median and p95 are interpolated."""
     flat = rows.select(*keys, F.explode(column).alias("x"))
     sorted_ = F.array_sort(F.collect_list("x"))
-    out = flat.groupBy(*keys).agg(F.min("x").alias("min_ms"), F.max("x").alias("max_ms"), F.avg("x").alias("avg_ms"), sorted_.alias("s"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.95)).alias("p95"))
-    return out.withColumn("upper_median", F.get("s", F.floor(F.size("s") / 2).cast("int"))).drop("s")
+    out = flat.groupBy(*keys).agg(F.min("x").alias("min_ms"), F.max("x").alias("max_ms"), F.avg("x").alias("avg_ms"), sorted_.alias("__sorted"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.95)).alias("p95"))
+    return out.withColumn("upper_median", F.get("__sorted", F.floor(F.size("__sorted") / 2).cast("int"))).drop("__sorted")
 
 
 def trimmed(latencies: Column) -> Column:
