@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import components, fresh, stored
 
@@ -145,7 +147,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp (long), component_id: the smallest id reachable over links of at most 3 differing bits.
+    """doc_id, fp (long), component_id: the smallest id reachable over links of at most 3 differing bits; root: a fingerprint
+    that stands for the component.
 
     One row for each row of docs. Null and empty texts have fingerprint 0 and are linked like any other. Rows with a
     null id are kept; their component is the smallest id that is not null, or null. Repeated rows are repeated.
@@ -153,28 +156,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp")))
-    group = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    best = group.groupBy("root").agg(F.min("least").alias("best"))
-    own = group.join(best, "root").select("fp", "best")
-    whole = stored(distinct.join(own, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id")), "classes")
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    group = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = stored(group.join(best, "root").select("fp", "component_id", "root"), "classes")
+    return fps.join(whole, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+@F.pandas_udf(LongType())
+def fingerprint_of(texts: pd.Series) -> pd.Series:
+    """Fingerprints of texts, as longs."""
+    return pd.Series(np.array([simhash(None if t is None else t.encode()) for t in texts], np.uint64).view(np.int64))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one stays for each component: that with the smallest id; of equal ids the smallest text.
 
-    All columns are kept. Rows with a null id stay only if no row of their component has an id, one of them.
+    All columns are kept. Of a component without any id, the row of smallest text stays; null texts come first.
     """
-    marks = near_duplicates(docs, id_col, text_col)
-    found = stored(marks.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.lit(1).alias("one")), "survivors")
-    key, seen, row = (fresh([*docs.columns, "component_id"], x) for x in ("key", "fp", "row"))
-    with_id = docs.join(found.where("component_id is not null").select(F.col("component_id").alias(key)), F.col(id_col) == F.col(key), "left_semi")
-    without = docs.where(F.col(id_col).isNull()).join(found.where("component_id is null").limit(1).select(F.lit(1).alias(seen)), F.lit(True), "left_semi")
-    from pyspark.sql import Window
-
+    key, found, row = (fresh(docs.columns, x) for x in ("key", "found", "row"))
+    classes = stored(near_duplicates(docs, id_col, text_col).groupBy("root", "fp").agg(F.min("component_id").alias("component_id")), "survivors")
     order = [F.col(text_col).asc_nulls_first(), *[F.col(c) for c in docs.columns if c not in (id_col, text_col) and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]]
-    kept = with_id.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(row) == 1).drop(row)
-    return kept.unionByName(without)
+    ids = classes.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
+    named = docs.join(ids, F.col(id_col) == F.col(key), "left_semi")
+    named = named.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+    bare = docs.where(F.col(id_col).isNull()).withColumn(key, fingerprint_of(F.col(text_col)))
+    bare = bare.join(classes.where("component_id is null").select(F.col("fp").alias(key), F.col("root").alias(found)), key)
+    bare = bare.withColumn(row, F.row_number().over(Window.partitionBy(found).orderBy(*order))).drop(key, found)
+    return named.unionByName(bare).where(F.col(row) == 1).drop(row)
 
 
 def hex_of(fp: str = "fp"):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ MAX_BROADCAST_REVISITS = 100_000
 #: A payload that very many records share is dealt out over so many groups.
 SALTS = 16
 
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length: *([0-9]+)\r\n")
+
 FIELDS = "file string, offset long, id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
@@ -42,12 +45,12 @@ def write_archive(records: DataFrame, path: str) -> None:
 
     id, uri, record_type, refers_to and payload_digest are strings, payload_bytes a long, payload string or binary. Null
     ids, uris and payloads are written without their header, or as an empty payload. Of a revisit no payload is
-    written; its HTTP headers still tell the length. An empty table makes an archive without records.
+    written; its HTTP headers still tell the length, if it is known. An empty table makes an archive without records.
     """
     digest = F.concat(F.lit("sha256:"), F.col("payload_digest"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), _line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
     revisit = F.col("record_type") == "revisit"
-    block_bytes = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
+    block_bytes = F.octet_length(http) + F.when(revisit, 0).otherwise(F.coalesce("payload_bytes", F.lit(0)))
     parts = [
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.col("record_type")),
@@ -95,14 +98,15 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     """The records of the archives in path: FIELDS, and payload (binary) if asked for.
 
     payload_bytes and payload_digest are computed from what the record holds; for a revisit, which holds none, the
-    digest is that of its header and the bytes are null. One file at a time is unpacked, a record at a time.
+    digest is that of its header and the bytes are what its HTTP headers tell, or null. One file at a time is unpacked, a record at a time.
     """
 
     def rows(content: bytes) -> Iterator[tuple]:
         for offset, h, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))):
             body = block[block.index(b"\r\n\r\n") + 4 :] if h.get("content-type", "").startswith("application/http") else block
             if (kind := h["warc-type"]) == "revisit":
-                found = (None, h.get("warc-payload-digest", "").removeprefix("sha256:"), None)
+                length = _LENGTH.search(block)
+                found = (int(length[1]) if length else None, h.get("warc-payload-digest", "").removeprefix("sha256:"), None)
             else:
                 found = (len(body), hashlib.sha256(body).hexdigest(), body)
             yield offset, _bare(h.get("warc-record-id")), h.get("warc-target-uri"), kind, _bare(h.get("warc-refers-to")), *found
