@@ -47,17 +47,22 @@ class Model(NamedTuple):
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of rows with a label and a text; without any, it has no language.
 
-    The sample of a language are its SAMPLE_ROWS rows of least text hash, at most; the driver gets SLICE_BYTES characters of
-    each. The model's size is bounded by the number of languages times DICT_BYTES.
+    The sample of a language are its SAMPLE_ROWS distinct texts of least hash, at most; the driver gets SLICE_BYTES characters of
+    each. Only texts with hashes under a bound, which some four times as many are expected to have, are ranked, so that a language's
+    rows never meet. The model's size is bounded by the number of languages times DICT_BYTES.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SLICE_BYTES).alias("slice"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "slice"))).where(F.col("k") <= SAMPLE_ROWS)
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()
+    bounds = [(r.lang, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * SAMPLE_ROWS // max(1, r.texts))) for r in known]
+    few = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    low = rows.join(few, "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("slice").alias("slice"))
+    ranked = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_ROWS)
     slices: dict[str, list[bytes]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.k)):
         if piece := normalise(r.slice)[:SLICE_BYTES]:
             slices.setdefault(r.lang, []).append(piece)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect() if r.lang in slices}
+    counts = {r.lang: r.n for r in known if r.lang in slices}
     return Model({lang: b" ".join(dict.fromkeys(pieces))[-DICT_BYTES:] for lang, pieces in slices.items()}, {lang: n / sum(counts.values()) for lang, n in counts.items()})
 
 
