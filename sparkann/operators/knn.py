@@ -1,7 +1,8 @@
 """Exact nearest neighbours, label filters, and merging of top-k lists.
 
 knn() sends a query block of checked size to every task and multiplies matrices there; each task gives k rows a query at most, which
-are merged by a ranked window. More queries than fit a block are taken block by block.
+are merged by a ranked window. More queries than fit a block are taken block by block, each one's result written to the shared folder, so
+that neither the driver nor a task ever holds more than a block.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import METRICS
+from ..session import scratch
 
 #: Bytes of query vectors in a task at a time, as doubles.
 BLOCK_BYTES = 32 << 20
@@ -76,33 +79,39 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude
     to right. Empty tables give no rows; null embeddings are left out.
     """
     spark = base.sparkSession
-    dim = queries.where("embedding is not null").select(F.size("embedding").alias("d")).first()
-    if dim is None:
+    asked = queries.where("embedding is not null").select(F.col("qid").cast("long").alias("qid"), "embedding")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
         return spark.createDataFrame([], "qid long, rank int, node_id long, dist double")
-    rows = max(1, BLOCK_BYTES // (8 * dim.d))
-    local = queries.where("embedding is not null").select(F.col("qid").cast("long"), "embedding").orderBy("qid")
-    held = local.toArrow()
     vectors = base.where("embedding is not null").select(F.col("node_id").cast("long").alias("node_id"), "embedding")
-    parts = []
-    for at in range(0, held.num_rows, rows):
-        some = held.slice(at, rows)
-        block = spark.sparkContext.broadcast((some.column("qid").to_numpy(), _matrix(some.column("embedding").combine_chunks(), dim.d)))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qids, q = block.value
-            for b in batches:
-                for lo in range(0, b.num_rows, 4096):
-                    part = b.slice(lo, 4096)
-                    v, ids = _matrix(part.column(1), q.shape[1]), part.column(0).to_numpy()
-                    for s in range(0, len(qids), 1024):
-                        a, n, d = _nearest(q[s : s + 1024], qids[s : s + 1024], v, ids, k, metric, exclude_self)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(d)], ["qid", "node_id", "dist"])
-
-        parts.append(vectors.mapInArrow(run, "qid long, node_id long, dist double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k).select("qid", "rank", "node_id", "dist")
+    blocks = -(-n * 8 * dim // BLOCK_BYTES)
+    if blocks == 1:
+        found, _ = _scan(asked, vectors, k, metric, exclude_self, dim)
+        return top_k(found, k).select("qid", "rank", "node_id", "dist")
+    at = scratch(spark, "knn")
+    for block in range(blocks):
+        found, held = _scan(asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block), vectors, k, metric, exclude_self, dim)
+        top_k(found, k).select("qid", "rank", "node_id", "dist").write.parquet(f"{at}/block={block}")
+        held.destroy()
+    return spark.read.parquet(at).select("qid", "rank", "node_id", "dist")
+
+
+def _scan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, exclude_self: bool, dim: int) -> tuple[DataFrame, Broadcast]:
+    """k rows a query at most from each batch of vectors, for queries that fit a block; and the block."""
+    held = queries.toArrow()
+    block = queries.sparkSession.sparkContext.broadcast((held.column("qid").to_numpy(), _matrix(held.column("embedding").combine_chunks(), dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = block.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                v, ids = _matrix(part.column(1), q.shape[1]), part.column(0).to_numpy()
+                for s in range(0, len(qids), 1024):
+                    a, n, d = _nearest(q[s : s + 1024], qids[s : s + 1024], v, ids, k, metric, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(d)], ["qid", "node_id", "dist"])
+
+    return vectors.mapInArrow(run, "qid long, node_id long, dist double"), block
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:

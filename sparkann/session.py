@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +30,8 @@ def local_session(app: str = "sparkann", cpus: str = "*", partitions: int = 8, m
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's modules to the executors, once an application, so that functions in them can run there."""
+    """Sends the package's modules to the executors, once an application, so that functions in them can run there. They go
+    through the shared folder, from which executors that start later fetch them too."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -40,8 +40,11 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    at = os.path.join(tempfile.mkdtemp(prefix="sparkann-"), "sparkann.zip")
-    Path(at).write_bytes(held.getvalue())
+    at = scratch(spark, "sparkann.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
     spark.sparkContext.addPyFile(at)
     _shipped.add(app)
 
