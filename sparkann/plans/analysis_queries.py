@@ -299,16 +299,16 @@ def p13_renamed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.experiments(spark).select(kind.alias("kind"), "mg")
 
 
-@query("SELECT CAST(pos AS INTEGER) AS pos, round(sum(x), 6) AS total FROM (SELECT unnest(range(0, 64)) AS pos, unnest(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS x FROM embeddings WHERE vec_id < 8) GROUP BY pos")
+@query("SELECT CAST(pos AS INTEGER) AS pos, round(sum(x), 6) AS total FROM (SELECT unnest(range(0, 64)) AS pos, unnest(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS x FROM embeddings) GROUP BY pos")
 def c_reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = asked(spark, sf_dir, 8).select(F.col("embedding").cast("array<double>").alias("x"))
+    rows = vectors(spark, sf_dir).select(F.col("embedding").cast("array<double>").alias("x"))
     return A.reduce_sum(rows, "x").withColumn("total", F.round("total", 6))
 
 
-@query("WITH t AS (SELECT sum(CAST(embedding[1] AS DOUBLE)) AS first FROM embeddings WHERE vec_id < 8) SELECT vec_id AS qid, round(first, 6) AS first FROM embeddings, t WHERE vec_id < 8")
+@query("WITH t AS (SELECT sum(CAST(embedding[1] AS DOUBLE)) AS first FROM embeddings) SELECT vec_id AS node_id, round(first, 6) AS first FROM embeddings, t")
 def c_all_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = asked(spark, sf_dir, 8).select("qid", F.col("embedding").cast("array<double>").alias("x"))
-    return A.all_reduce(rows, "x").select("qid", F.round(F.col("total")[0], 6).alias("first"))
+    rows = vectors(spark, sf_dir).select("node_id", F.col("embedding").cast("array<double>").alias("x"))
+    return A.all_reduce(rows, "x").select("node_id", F.round(F.col("total")[0], 6).alias("first"))
 
 
 _LOG = "l AS (SELECT 'log' AS file, vec_id AS line_no, CASE vec_id % 3 WHEN 0 THEN 'kernel time: ' || vec_id || '.25 ms' WHEN 1 THEN 'recall@10 = 0.' || vec_id ELSE 'note' END AS value FROM embeddings)"
@@ -355,8 +355,9 @@ def s7_vector_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select((F.col("part") * 200 + F.col("node_id")).alias("node_id"), F.col("embedding")[0].alias("first"), F.col("embedding")[63].alias("last"))
 
 
-@query("SELECT vec_id // 4 AS batch_id, count(*) AS n FROM embeddings WHERE vec_id < 40 GROUP BY 1 HAVING vec_id // 4 BETWEEN 1 AND 8")
+@query("SELECT vec_id // 4 AS batch_id, count(*) AS n FROM embeddings GROUP BY 1 HAVING vec_id // 4 > 0 AND vec_id // 4 < (SELECT max(vec_id) // 4 FROM embeddings)")
 def s18_middle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches without the first and the last."""
-    n = asked(spark, sf_dir, 40).groupBy(F.floor(F.col("qid") / 4).alias("batch_id")).agg(F.count("*").alias("n"))
-    return n.where(F.col("batch_id").between(1, 8))
+    n = vectors(spark, sf_dir).groupBy(F.floor(F.col("node_id") / 4).alias("batch_id")).agg(F.count("*").alias("n"))
+    last = n.agg(F.max("batch_id").alias("last"))
+    return n.crossJoin(F.broadcast(last)).where("batch_id > 0 and batch_id < last").drop("last")

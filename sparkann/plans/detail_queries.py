@@ -26,11 +26,11 @@ def p1_valid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists(spark, sf_dir).select("src", F.explode(F.slice("neighbors", 1, F.col("count"))).alias("dst"))
 
 
-@query(f"WITH {KNN16} SELECT dst, min(src) AS first FROM e WHERE src < 50 GROUP BY dst")
+@query(f"WITH {KNN16} SELECT dst, min(src) AS first FROM e GROUP BY dst")
 def p2_first_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of nodes that are met several times only the first visit counts."""
     w = Window.partitionBy("dst").orderBy("src")
-    rows = near16(spark, sf_dir).where("src < 50").withColumn("n", F.row_number().over(w))
+    rows = near16(spark, sf_dir).withColumn("n", F.row_number().over(w))
     return rows.where("n = 1").select("dst", F.col("src").alias("first"))
 
 
@@ -56,17 +56,17 @@ def x2_layer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(at, F.col("level") >= F.col("layer")).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {KNN16} SELECT src % 4 AS channel, src // 4 AS at, dst FROM e WHERE src < 64")
+@query(f"WITH {KNN16} SELECT src % 4 AS channel, src // 4 AS at, dst FROM e")
 def j2_sharded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by channel and place there: the low bits and the rest of the id."""
-    e = near16(spark, sf_dir).where("src < 64")
+    e = near16(spark, sf_dir)
     return e.select(F.col("src").bitwiseAND(F.lit(3).cast("long")).alias("channel"), F.shiftright("src", 2).alias("at"), "dst")
 
 
-@query(f"WITH {KNN16}, {Q}, {V} SELECT src AS qid, dst AS node_id, {L2} AS dist FROM e JOIN q ON q.qid = e.src JOIN v ON v.node_id = e.dst WHERE src < 5")
+@query(f"WITH {KNN16}, {Q}, {V} SELECT src AS qid, dst AS node_id, {L2} AS dist FROM e JOIN q ON q.qid = e.src JOIN v ON v.node_id = e.dst")
 def j3_neighbour_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of a frontier with their vectors, scored."""
-    q = asked(spark, sf_dir, 5).select("qid", F.col("embedding").alias("q"))
+    q = asked(spark, sf_dir).select("qid", F.col("embedding").alias("q"))
     near = near16(spark, sf_dir).join(F.broadcast(q), F.col("src") == F.col("qid")).select("qid", "q", F.col("dst").alias("node_id"))
     return near.join(vectors(spark, sf_dir), "node_id").select("qid", "node_id", D.squared_l2(F.col("q"), F.col("embedding")).alias("dist"))
 
@@ -106,10 +106,10 @@ def k17_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.floor(F.col("qid") / 8).alias("batch_id"), "qid", "rank", "node_id")
 
 
-@query("SELECT vec_id % 6 AS channel, count(*) AS n FROM embeddings WHERE vec_id < 20 GROUP BY 1")
+@query("SELECT (vec_id // 50) % 6 AS channel, count(*) AS n FROM embeddings WHERE vec_id % 50 = 0 GROUP BY 1")
 def g5_split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round robin over six channels: the first two get one more."""
-    return asked(spark, sf_dir).groupBy(F.pmod("qid", F.lit(6)).alias("channel")).agg(F.count("*").alias("n"))
+    """Round robin over six channels: the first n % 6 get one more."""
+    return asked(spark, sf_dir).groupBy(F.pmod(F.floor(F.col("qid") / 50), F.lit(6)).alias("channel")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {KNN16}, {V}, l AS (SELECT {LEVEL} AS level, node_id FROM v) SELECT src, count(*) AS n FROM e JOIN l ON node_id = src WHERE level > 0 GROUP BY src")
@@ -160,7 +160,7 @@ def v7_cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-@query("SELECT vec_id AS qid, CAST(p AS INTEGER) AS part, embedding[p * 8 + 1] AS first, embedding[p * 8 + 8] AS last FROM embeddings, (SELECT unnest(range(0, 8)) AS p) WHERE vec_id < 20")
+@query("SELECT vec_id AS qid, CAST(p AS INTEGER) AS part, embedding[p * 8 + 1] AS first, embedding[p * 8 + 8] AS last FROM embeddings, (SELECT unnest(range(0, 8)) AS p) WHERE vec_id % 50 = 0")
 def v10_sub_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ivf.sub_vectors(asked(spark, sf_dir), "qid", "embedding", 8, 64)
     return rows.select("qid", "part", F.col("sub")[0].alias("first"), F.element_at("sub", -1).alias("last"))
@@ -189,9 +189,9 @@ def b3_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).groupBy(h.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'x' AS part, vec_id AS node_id FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'y', vec_id FROM embeddings WHERE vec_id % 3 = 1")
+@query("SELECT vec_id % 3 AS part, vec_id AS node_id FROM embeddings")
 def c_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What several sessions sent, together."""
-    v = vectors(spark, sf_dir)
-    part = lambda name, r: v.where(F.col("node_id") % 3 == r).select(F.lit(name).alias("part"), "node_id")
-    return part("x", 0).unionByName(part("y", 1))
+    """What three sessions hold, together."""
+    v = graph.shard(vectors(spark, sf_dir), 3)
+    part = lambda r: v.where(F.col("shard_id") == r).select(F.col("shard_id").alias("part"), "node_id")
+    return part(0).unionByName(part(1)).unionByName(part(2))

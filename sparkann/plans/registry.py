@@ -35,13 +35,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("node_id"), "embedding", "label")
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """qid, embedding of the stated query set: the first n ids."""
-    return vectors(spark, sf_dir).where(F.col("node_id") < n).select(F.col("node_id").alias("qid"), "embedding")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, embedding of the stated query set: ids divisible by 50."""
+    return vectors(spark, sf_dir).where(F.col("node_id") % 50 == 0).select(F.col("node_id").alias("qid"), "embedding")
 
 
 V = "v AS (SELECT vec_id AS node_id, embedding, label FROM embeddings)"
-Q = "q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 20)"
+Q = "q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def knn_sql(dist: str, k: int = 10, where: str = "qid <> node_id", q: str = Q, v: str = V, desc: str = "") -> str:

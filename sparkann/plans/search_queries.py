@@ -102,30 +102,30 @@ def s9_prefix_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("node_id < 100").select("node_id", "label")
 
 
-@query("SELECT qid // 8 AS batch_id, count(*) AS n, min(qid) AS first, max(qid) AS last FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 50) GROUP BY 1")
+@query("SELECT qid // 8 AS batch_id, count(*) AS n, min(qid) AS first, max(qid) AS last FROM (SELECT vec_id AS qid FROM embeddings) GROUP BY 1")
 def s14_query_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.batches(asked(spark, sf_dir, 50), 8).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("qid").alias("first"), F.max("qid").alias("last"))
+    return serving.batches(vectors(spark, sf_dir).withColumnRenamed("node_id", "qid"), 8).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("qid").alias("first"), F.max("qid").alias("last"))
 
 
-@query(f"WITH {KNN16}, f AS (SELECT vec_id AS cand FROM embeddings WHERE vec_id < 5) SELECT cand, dst, CAST(pos AS INTEGER) AS pos FROM f JOIN e ON cand = src")
+@query(f"WITH {KNN16}, f AS (SELECT vec_id AS cand FROM embeddings WHERE vec_id % 50 = 0) SELECT cand, dst, CAST(pos AS INTEGER) AS pos FROM f JOIN e ON cand = src")
 def j1_expand_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    front = asked(spark, sf_dir, 5).select(F.col("qid").alias("cand"))
+    front = asked(spark, sf_dir).select(F.col("qid").alias("cand"))
     return near16(spark, sf_dir).join(F.broadcast(front), F.col("cand") == F.col("src")).select("cand", "dst", "pos")
 
 
-@query(f"WITH {KNN16} SELECT count(DISTINCT dst) AS n FROM e WHERE src < 20 AND dst NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 20)")
+@query(f"WITH {KNN16} SELECT count(DISTINCT dst) AS n FROM e WHERE src % 50 = 0 AND dst NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)")
 def j7_not_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = asked(spark, sf_dir).select(F.col("qid").alias("dst"))
-    return near16(spark, sf_dir).where("src < 20").join(seen, "dst", "left_anti").agg(F.countDistinct("dst").alias("n"))
+    return near16(spark, sf_dir).where("src % 50 = 0").join(seen, "dst", "left_anti").agg(F.countDistinct("dst").alias("n"))
 
 
-@query("SELECT shard, qid FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 20), (SELECT unnest(range(4)) AS shard)")
+@query("SELECT shard, qid FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0), (SELECT unnest(range(4)) AS shard)")
 def j8_scatter_to_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     servers = spark.range(4).withColumnRenamed("id", "shard")
     return asked(spark, sf_dir).select("qid").crossJoin(F.broadcast(servers)).select("shard", "qid")
 
 
-@query(f"WITH {KNN16}, a AS (SELECT src, dst FROM e WHERE src < 20), b AS (SELECT a.src, e.dst FROM a JOIN e ON a.dst = e.src) SELECT src AS node_id, count(DISTINCT dst) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE src <> dst GROUP BY src")
+@query(f"WITH {KNN16}, a AS (SELECT src, dst FROM e WHERE src % 50 = 0), b AS (SELECT a.src, e.dst FROM a JOIN e ON a.dst = e.src) SELECT src AS node_id, count(DISTINCT dst) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE src <> dst GROUP BY src")
 def j11_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = asked(spark, sf_dir).select(F.col("qid").alias("node_id"))
     return graph.two_hop(near16(spark, sf_dir), nodes).groupBy("node_id").agg(F.count("*").alias("n"))
@@ -142,10 +142,9 @@ def k12_merge_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.merge(by_shard(spark, sf_dir, 4, 10), 10).select("qid", "rank", "node_id", "dist")
 
 
-@query(f"WITH {Q}, {V}, s AS (SELECT qid, node_id, {L2} AS dist, node_id // 128 AS shard FROM q, v WHERE qid <> node_id), t AS (SELECT *, row_number() OVER (PARTITION BY qid, shard ORDER BY dist, node_id) AS r FROM s) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) AS INTEGER) AS rank, node_id, dist FROM t WHERE r <= 5 AND shard < 3")
+@query(f"WITH {Q}, {V}, s AS (SELECT qid, node_id, {L2} AS dist, node_id % 3 AS shard FROM q, v WHERE qid <> node_id), t AS (SELECT *, row_number() OVER (PARTITION BY qid, shard ORDER BY dist, node_id) AS r FROM s) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) AS INTEGER) AS rank, node_id, dist FROM t WHERE r <= 5")
 def k13_merge_subgraphs_uncut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = graph.shard(vectors(spark, sf_dir), 0, size=128)
-    return knn.merge([knn.knn(asked(spark, sf_dir), v.where(F.col("shard_id") == s), 5) for s in range(3)], None).select("qid", "rank", "node_id", "dist")
+    return knn.merge(by_shard(spark, sf_dir, 3, 5), None).select("qid", "rank", "node_id", "dist")
 
 
 @query(knn_sql(L2, 5, desc=" DESC"))
@@ -154,10 +153,11 @@ def k18_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(rows, 5, largest=True).select("qid", "rank", "node_id", "dist")
 
 
-@query(f"WITH {Q}, {V} SELECT node_id, dist FROM (SELECT node_id, {L2} AS dist FROM q, v WHERE qid = 0 AND node_id <> 0) ORDER BY dist, node_id LIMIT 10")
+@query(f"WITH {Q}, {V} SELECT qid, node_id, dist FROM (SELECT qid, node_id, {L2} AS dist FROM q, v WHERE qid <> node_id) ORDER BY dist, qid, node_id LIMIT 10")
 def k16_ten_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = knn.pairs(asked(spark, sf_dir, 1), vectors(spark, sf_dir)).where("node_id <> 0")
-    return rows.select("node_id", "dist").orderBy("dist", "node_id").limit(10)
+    """The ten nearest pairs: a report of ten rows."""
+    rows = knn.pairs(asked(spark, sf_dir), vectors(spark, sf_dir)).where("qid <> node_id")
+    return rows.orderBy("dist", "qid", "node_id").limit(10)
 
 
 @query(f"WITH {KNN16} SELECT src, dst, CAST(pos AS INTEGER) AS pos, dist FROM e")
@@ -262,9 +262,9 @@ def g3_delayed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g4_superstep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The superstep form, few queries and a small queue: a round is some jobs."""
+    """The superstep form, with a small queue: a round is some jobs."""
     v, e, entry = linked(spark, sf_dir)
-    return superstep.search(asked(spark, sf_dir, 4), v, e.checkpoint(), entry, ef=8, cq=8, mc=8, mg=2)[0]
+    return superstep.search(asked(spark, sf_dir), v, e.checkpoint(), entry, ef=8, cq=8, mc=8, mg=2)[0]
 
 
 @query()
@@ -350,9 +350,9 @@ def e6_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.tie_counts(*halved(spark, sf_dir))
 
 
-@query(f"WITH {KNN16}, s AS (SELECT src AS qid, CAST(pos AS INTEGER) AS step, 1 + dst % 5 AS n FROM e WHERE src < 20) SELECT qid, step, n, CAST(coalesce(sum(n) OVER (PARTITION BY qid ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s")
+@query(f"WITH {KNN16}, s AS (SELECT src AS qid, CAST(pos AS INTEGER) AS step, 1 + dst % 5 AS n FROM e) SELECT qid, step, n, CAST(coalesce(sum(n) OVER (PARTITION BY qid ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s")
 def e8_step_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = near16(spark, sf_dir).where("src < 20").select(F.col("src").alias("qid"), F.col("pos").alias("step"), (F.pmod("dst", F.lit(5)) + 1).alias("n"))
+    steps = near16(spark, sf_dir).select(F.col("src").alias("qid"), F.col("pos").alias("step"), (F.pmod("dst", F.lit(5)) + 1).alias("n"))
     return evaluation.step_offsets(steps)
 
 
@@ -372,7 +372,7 @@ def t1_micro_batch_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("qid", "rank", "node_id", "dist")
 
 
-@query("SELECT vec_id AS qid, embedding[1] AS first, embedding[64] AS last FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id AS qid, embedding[1] AS first, embedding[64] AS last FROM embeddings WHERE vec_id % 50 = 0")
 def t2_decode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries as hex messages of little-endian floats; a negative id ends the stream."""
     hexed = F.udf(lambda v: struct.pack(f"<{len(v)}f", *v).hex().upper())

@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_has_rows(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 200
+    assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
