@@ -146,6 +146,15 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_link_runs, "a long, b long")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """fp, component_id, root: a row for each distinct fingerprint of fps (doc_id, fp)."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    group = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(group.join(best, "root").select("fp", "component_id", "root"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id: the smallest id reachable over links of at most 3 differing bits; root: a fingerprint
     that stands for the component.
@@ -154,12 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id are kept; their component is the smallest id that is not null, or null. Repeated rows are repeated.
     """
     fps = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    group = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = stored(group.join(best, "root").select("fp", "component_id", "root"), "classes")
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id", "root")
+    return fps.join(classes(fps), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 @F.pandas_udf(LongType())
@@ -174,13 +178,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     All columns are kept. Of a component without any id, the row of smallest text stays; null texts come first.
     """
     key, found, row = (fresh(docs.columns, x) for x in ("key", "found", "row"))
-    classes = stored(near_duplicates(docs, id_col, text_col).groupBy("root", "fp").agg(F.min("component_id").alias("component_id")), "survivors")
+    found_classes = classes(stored(fingerprints(docs, id_col, text_col), "fingerprints"))
     order = [F.col(text_col).asc_nulls_first(), *[F.col(c) for c in docs.columns if c not in (id_col, text_col) and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]]
-    ids = classes.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
+    ids = found_classes.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
     named = docs.join(ids, F.col(id_col) == F.col(key), "left_semi")
     named = named.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
     bare = docs.where(F.col(id_col).isNull()).withColumn(key, fingerprint_of(F.col(text_col)))
-    bare = bare.join(classes.where("component_id is null").select(F.col("fp").alias(key), F.col("root").alias(found)), key)
+    bare = bare.join(found_classes.where("component_id is null").select(F.col("fp").alias(key), F.col("root").alias(found)), key)
     bare = bare.withColumn(row, F.row_number().over(Window.partitionBy(found).orderBy(*order))).drop(key, found)
     return named.unionByName(bare).where(F.col(row) == 1).drop(row)
 
