@@ -82,8 +82,8 @@ RULES: list[tuple[str, list[str], str]] = [
     ("All-Rights-Reserved", ["AllRights"], "restricted"),
 ]
 
-# What every known sentence holds some of; a text without any of them needs no splitting.
-HINTS = "(?i)licen[sc]e|copyright|permission|warrant|redistribut|rights reserved|public domain|free software"
+# What every known sentence holds some of; a text without any of them needs no splitting. Single words, as lines may wrap between two.
+HINTS = "(?i)licen[sc]e|copyright|permission|warrant|redistribut|reserved|software"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Leaders of comment lines; lines that end with an SPDX tag; line ends within a sentence, which a lower-case letter

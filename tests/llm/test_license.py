@@ -75,3 +75,13 @@ def test_every_known_sentence_has_a_hint_and_is_normal():
 def test_main_path_has_no_python(spark):
     plan = L.scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+WRAPPED = ["All rights\nreserved.", "ALL RIGHTS RESERVED", "All rights  reserved.", "# All rights\n# reserved.", "// This is free and unencumbered software released into the public\n// domain.", "This program is free\nsoftware.", "This program is free  software."]
+
+
+def test_wrapped_and_spaced_sentences_pass_the_hint_test(spark):
+    documents = pd.DataFrame(list(enumerate(WRAPPED)), columns=["doc_id", "text"])  # noqa: F841
+    want = sorted(duckdb.sql(L.scan_sql()).fetchall())
+    got = sorted(tuple(r) for r in L.scan(spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")).collect())
+    assert got == want and all(r[1] for r in want)
