@@ -22,6 +22,8 @@ WEIGHTS, MAX_COPIES, SEED = (1, 2, 3), 3, 20240229
 MAX_PATTERNS = 100_000
 #: Bits of the two levels of the hash histogram, and documents that are tried to fill the last gap of a pattern, on average.
 LEVEL_BITS, FILL = 12, 256
+#: A gap of more than this share of what a pattern sends is filled from all documents.
+GAP = 0.001
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -127,6 +129,14 @@ def plan(sized: DataFrame) -> Plan:
     wanted = F.broadcast(spark.createDataFrame(rows, kinds))
 
     part = sized.join(wanted, sized.pattern.eqNullSafe(wanted.pattern)).where("rest > 0").select("pid", "rest", "n", "h", "size")
+    second, chosen = _take(part)
+    rows = wanted.join(second, "pid", "left").select("pattern", "pid", "copies", F.coalesce("bound", F.lit(0)).alias("bound"))
+    return Plan(stored(rows, "plan"), _topped_up(part, second, chosen, sent).select("pid", "h"), figures)
+
+
+def _take(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of part (pid, rest, n, h, size): pid, bound, gap for what is short of rest below a bound of hashes; and pid, h, size of those after it
+    that fill the gap. A pattern that doesn't reach its rest has no row."""
     one, two = 63 - LEVEL_BITS, 63 - 2 * LEVEL_BITS
     upto = Window.partitionBy("pid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     first = part.groupBy("pid", "rest", F.shiftright("h", one).alias("b")).agg(F.sum("size").alias("size"))
@@ -138,10 +148,44 @@ def plan(sized: DataFrame) -> Plan:
     second = stored(second.select("pid", F.col("x.b").alias("bound"), F.col("x.col2").alias("gap")), "level2")
     width = F.ceil(F.lit(FILL << (2 * LEVEL_BITS)) / F.col("n"))
     near = part.join(told(second, MAX_PATTERNS), "pid").where((F.shiftright("h", two) >= F.col("bound")) & (F.shiftright("h", two) <= F.col("bound") + width))
-    chosen = near.groupBy("pid", "gap", "h").agg(F.sum("size").alias("size")).groupBy("pid").applyInPandas(_fill, "pid int, h long")
-    chosen = stored(chosen, "chosen")
-    rows = wanted.join(second, "pid", "left").select("pattern", "pid", "copies", F.coalesce("bound", F.lit(0)).alias("bound"))
-    return Plan(stored(rows, "plan"), chosen, figures)
+    chosen = near.groupBy("pid", "gap", "h").agg(F.sum("size").alias("size")).groupBy("pid").applyInPandas(_fill, "pid int, h long, size long")
+    return second, stored(chosen, "chosen")
+
+
+def _topped_up(part: DataFrame, bounds: DataFrame, chosen: DataFrame, sent: list[int]) -> DataFrame:
+    """chosen, and what closes gaps that are large against what the pattern sends. The selection is repeated over all documents that are left
+    and no larger than the gap; each turn takes one at least. When none is left, one of under twice the gap lands nearer than nothing."""
+    spark, two = part.sparkSession, 63 - 2 * LEVEL_BITS
+    gaps = {r.pid: r.gap for r in bounds.collect()}
+    large = lambda: {p: g for p, g in gaps.items() if g > GAP * sent[p]}
+    table = lambda found: F.broadcast(spark.createDataFrame(list(found.items()), "pid int, rest long"))
+
+    def closed(picks: DataFrame) -> None:
+        for r in picks.groupBy("pid").agg(F.sum("size").alias("size")).collect():
+            gaps[r.pid] -= r["size"]
+
+    closed(chosen)
+    if not large():
+        return chosen
+    free = part.join(told(bounds, MAX_PATTERNS), "pid").join(table(large()).select("pid"), "pid", "left_semi").where(F.shiftright("h", two) >= F.col("bound"))
+    free = free.groupBy("pid", "h").agg(F.sum("size").alias("size")).where("size > 0").join(chosen, ["pid", "h"], "left_anti")
+    free = stored(free, "free")
+    while now := large():
+        fits = free.join(table(now), "pid").where("size <= rest")
+        fits = stored(fits.join(told(fits.groupBy("pid").agg(F.count("*").alias("n")), MAX_PATTERNS), "pid"), "fits")
+        if fits.isEmpty():
+            break
+        bound, filled = _take(fits)
+        below = fits.join(told(bound, MAX_PATTERNS), "pid", "left").where(F.col("bound").isNull() | (F.shiftright("h", two) < F.col("bound")))
+        picks = stored(below.select("pid", "h", "size").unionByName(filled), "picks")
+        closed(picks)
+        chosen = chosen.unionByName(picks)
+        free = stored(free.join(picks, ["pid", "h"], "left_anti"), "free")
+    if now := large():
+        over = free.join(table(now), "pid").where((F.col("size") > F.col("rest")) & (F.col("size") < 2 * F.col("rest")))
+        best = over.groupBy("pid").agg(F.min(F.struct("size", "h")).alias("x"))
+        chosen = chosen.unionByName(best.select("pid", F.col("x.h").alias("h"), F.col("x.size").alias("size")))
+    return stored(chosen, "chosen")
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +196,8 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         if 0 < size <= gap:
             taken.append(h)
             gap -= size
-    return pd.DataFrame({"pid": pd.Series([rows["pid"].iloc[0]] * len(taken), dtype="int32"), "h": pd.Series(taken, dtype="int64")})
+    held = rows.set_index("h")["size"].loc[taken].to_numpy()
+    return pd.DataFrame({"pid": pd.Series([rows["pid"].iloc[0]] * len(taken), dtype="int32"), "h": pd.Series(taken, dtype="int64"), "size": pd.Series(held, dtype="int64")})
 
 
 def with_copies(rows: DataFrame, made: Plan, pattern: str, h: str, copies: str) -> DataFrame:

@@ -84,3 +84,19 @@ def test_too_many_patterns_are_refused(spark, monkeypatch):
     df = spark.range(5).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit("a b").alias("text"))
     with pytest.raises(ValueError, match="patterns"):
         M.mix(df)
+
+
+def test_a_document_that_straddles_the_bound_leaves_no_gap(spark, monkeypatch):
+    ids = spark.range(3001).select("id", M.rank_of(F.col("id")).alias("h"))
+    long_one = ids.orderBy("h").collect()[500]["id"]
+    size = F.when(F.col("id") == long_one, 300_000).otherwise(200).cast("long")
+    sized = M.stored(ids.select(F.array(F.lit("a")).alias("pattern"), size.alias("size"), "h"), "sized")
+    monkeypatch.setattr(M, "targets", lambda sizes, total: {"a": 250_000.0})
+    taken = M.with_copies(sized, M.plan(sized), "pattern", "h", "copies").agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+    assert abs(taken - 250_000) <= 250
+
+
+def test_the_straddling_document_is_taken_where_that_is_nearer(spark, monkeypatch):
+    sized = M.stored(spark.range(2).select(F.array(F.lit("a")).alias("pattern"), F.lit(1000).cast("long").alias("size"), M.rank_of(F.col("id")).alias("h")), "sized")
+    monkeypatch.setattr(M, "targets", lambda sizes, total: {"a": 1900.0})
+    assert M.with_copies(sized, M.plan(sized), "pattern", "h", "copies").agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 2000
