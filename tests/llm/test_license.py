@@ -85,3 +85,15 @@ def test_wrapped_and_spaced_sentences_pass_the_hint_test(spark):
     want = sorted(duckdb.sql(L.scan_sql()).fetchall())
     got = sorted(tuple(r) for r in L.scan(spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")).collect())
     assert got == want and all(r[1] for r in want)
+
+
+def test_every_sentence_however_it_is_broken_or_spaced(spark):
+    """scan(), with its hint, says of each what the SQL says, which has none."""
+    breaks = [" ", "  ", "\n", " \n", "\n ", "\n// ", "\n# ", "\n * ", "\t", ", ", " - ", "*"]
+    rows = [(k * 1000 + j * 10 + c, f"Some words before.\n{case(w.join([head, ' '.join(tail)]) if c == 0 else w.join([head, *tail]))}.\nAnd after.")
+            for k, (_, s) in enumerate(L.SENTENCES) for j, w in enumerate(breaks) for c, case in enumerate((str, str.upper, str.title)) for head, *tail in [s.split(" ")]]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = sorted(duckdb.sql(L.scan_sql()).fetchall())
+    assert sorted(tuple(r) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    plain = {r[0] for r in want if r[1]}
+    assert {k * 1000 + j * 10 for k in range(len(L.SENTENCES)) for j in range(4)} <= plain
