@@ -22,8 +22,8 @@ from .common import crc_mod, stored
 BITS = 20
 #: FTRL-proximal's parameters, and passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 4.0, 1.0, 6
-#: Labelled rows to train on, at most.
-SAMPLE_ROWS = 10_000
+#: Labelled rows to train on, at most, and their distinct features together: what the training task holds.
+SAMPLE_ROWS, SAMPLE_FEATURES = 10_000, 50_000_000
 
 #: Lengths of stems, and distinct words that a task remembers.
 STEMS, MAX_KNOWN = (3, 4, 5), 1 << 19
@@ -77,7 +77,7 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
 
     for _ in range(PASSES):
         for x, y in rows:
-            i = np.append(x, 1 << BITS)
+            i = np.append(x.astype(np.int64), 1 << BITS)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -88,32 +88,46 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     return at, w[at]
 
 
+def _within(rows: Iterator[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """The first rows, up to SAMPLE_FEATURES features."""
+    kept, size = [], 0
+    for x, y in rows:
+        size += len(x)
+        if size > SAMPLE_FEATURES:
+            break
+        kept.append((x, y))
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from the rows of docs that have a label of 0 or 1.
 
-    Those of least hashed id are taken, up to SAMPLE_ROWS; one task makes their features and trains, and the driver gets
-    the weights. Rows with a null id or label are left out; an id with several labels counts as toxic if one says so;
-    a null text is empty. Without any row the model has no weights, and every score is 0.5 at first.
+    Those of least hashed id are taken, one for each id (of several texts that of least hash), up to SAMPLE_ROWS rows and SAMPLE_FEATURES
+    features; one task trains with them, and the driver gets the weights. Rows with a null id or label are left out; an id with several labels
+    counts as toxic if one says so; a null text is empty. Without any row the model has no weights, and every score is 0.5 at first.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    wanted = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    wanted = docs.select(F.col(id_col).alias("id"), mark.alias("t")).groupBy("id").agg(F.min("t").alias("t")).join(known, "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     wanted = stored(wanted, "sample")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
+    texts = docs.select(F.col(id_col).alias("id"), mark.alias("t"), F.col(text_col).alias("text")).join(F.broadcast(wanted), ["id", "t"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), set()
         for b in batches:
-            x = [np.unique(hasher.features(t)).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], ["id", "y", "x"])
+            # What is repeated in a task is passed on once, so that no id is hot after this.
+            new = pa.array([k for k, i in enumerate(b.column(0).to_pylist()) if not (i in seen or seen.add(i))], pa.int64())
+            x = [np.unique(hasher.features(t)).astype(np.uint32).tobytes() for t in b.column(1).take(new).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(new), b.column(2).take(new), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(x.as_py(), np.uint32).astype(np.int64), y.as_py()) for b in batches for y, x in zip(b.column(1), b.column(2), strict=True)]
-        at, w = train(rows)
+        at, w = train(_within((np.frombuffer(x.as_py(), np.uint32), y.as_py()) for b in batches for y, x in zip(b.column(1), b.column(2), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["at", "w"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.select("id", "text", "y").mapInArrow(hashed, f"id {kind}, y int, x binary")
-    model = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "x").mapInArrow(learnt, "at long, w double").collect()
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.first("x").alias("x"))
+    model = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(learnt, "at long, w double").collect()
     return np.array([r.at for r in model], np.int64), np.array([r.w for r in model], float)
 
 
