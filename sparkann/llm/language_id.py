@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, lean
 
-#: Bounds of the fit, a language: bytes of dictionary, sampled rows, and bytes of each that enter the dictionary.
-DICT_BYTES, SAMPLE_ROWS, SLICE_BYTES = 64 << 10, 256, 1 << 10
+#: Bounds of the fit, a language: bytes of dictionary, sampled texts, and characters of each that enter it, from a hashed place. So many slices
+#: are what a dictionary holds.
+DICT_BYTES, SAMPLE_ROWS, SLICE = 64 << 10, 256, 256
 #: Bytes of a piece of text; zstandard's level.
 PIECE, LEVEL = 4 << 10, 6
 #: A prediction is rejected if the second language's size exceeds the best one's by less than this share.
@@ -30,11 +31,18 @@ MARGIN = 0.005
 UNDETERMINED = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Number signs are word characters, but neither letters nor digits: those of the first plane, and the others.
+_SIGNS = [re.compile(f"[{''.join(c for c in map(chr, part) if c.isnumeric() and not c.isalpha())}]+") for part in (range(1 << 16), range(1 << 16, 0x110000))]
 
 
 def normalise(text: str | None) -> bytes:
     """Words of letters only, lower-case, with single spaces; empty for null or a text without letters."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode()
+    words = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not words.isascii():
+        for signs in _SIGNS[: 1 + (max(words) > "\uffff")]:
+            if signs.search(words):
+                words = " ".join(signs.sub(" ", words).split())
+    return words.strip().encode()
 
 
 class Model(NamedTuple):
@@ -47,12 +55,14 @@ class Model(NamedTuple):
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of rows with a label and a text; without any, it has no language.
 
-    The sample of a language are its SAMPLE_ROWS distinct texts of least hash, at most; the driver gets SLICE_BYTES characters of
-    each. Only texts with hashes under a bound, which some four times as many are expected to have, are ranked, so that a language's
-    rows never meet. The model's size is bounded by the number of languages times DICT_BYTES.
+    The sample of a language are its SAMPLE_ROWS distinct texts of least hash, at most; the driver gets SLICE characters of
+    each, from a place that is hashed too. All of them stand in the dictionary, unless their letters take more than DICT_BYTES. Only texts with hashes
+    under a bound, which some four times as many are expected to have, are ranked, so that a language's rows never meet. The model's size is
+    bounded by the number of languages times DICT_BYTES.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SLICE_BYTES).alias("slice"))
+    place = F.pmod(F.xxhash64(text_col, F.lit(1)), F.greatest(F.lit(1), F.length(text_col) - SLICE + 1)) + 1
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substr(F.col(text_col), place.cast("int"), F.lit(SLICE)).alias("slice"))
     known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()
     bounds = [(r.lang, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * SAMPLE_ROWS // max(1, r.texts))) for r in known]
     few = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
@@ -60,10 +70,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     ranked = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_ROWS)
     slices: dict[str, list[bytes]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.k)):
-        if piece := normalise(r.slice)[:SLICE_BYTES]:
+        if piece := normalise(r.slice):
             slices.setdefault(r.lang, []).append(piece)
     counts = {r.lang: r.n for r in known if r.lang in slices}
-    return Model({lang: b" ".join(dict.fromkeys(pieces))[-DICT_BYTES:] for lang, pieces in slices.items()}, {lang: n / sum(counts.values()) for lang, n in counts.items()})
+    return Model({lang: b" ".join(dict.fromkeys(pieces))[:DICT_BYTES] for lang, pieces in slices.items()}, {lang: n / sum(counts.values()) for lang, n in counts.items()})
 
 
 class Classifier:
@@ -112,7 +122,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
 
     schema = StructType([*seen.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType())])
-    return seen.mapInArrow(run, schema).withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < MARGIN))
+    return seen.mapInArrow(lean(run), schema).withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < MARGIN))
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
