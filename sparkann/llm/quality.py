@@ -14,23 +14,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Whole documents: fewest words; words of a window; most repeated words, in per cent.
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
-#: Lines: most symbols and other marks, in per cent of a line's characters in words; navigation lines have at most so many words.
-MAX_MARKS, NAV_WORDS = 15, 12
+#: Lines: most symbols and other marks, in per cent of a line's characters in words; navigation lines and notices have at most so many words.
+MAX_MARKS, NAV_WORDS, NOTICE_WORDS = 15, 12, 16
 #: Also a navigation line: NAV_BARS bars or more, and at least one for BAR_WORDS words.
 NAV_BARS, BAR_WORDS = 2, 4
+#: A line of fewer words than this must end as a sentence does.
+END_WORDS = 4
 #: A document must keep this share of its characters in words, in per cent.
 MIN_KEPT = 50
 
-# White space between words, symbols, and whole lines of page furniture (A-Z lower-cased).
+# White space between words, symbols, what a sentence may end with, and whole lines of page furniture (A-Z lower-cased). A notice has a notice's form:
+# a sign or year after "copyright", links and nothing else, a name after "powered by"; a sentence that only begins like one is prose.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+ENDS = "[.!?\"')\\]…»”’。！？:;]"
 NAVIGATION = "(home|menu|search|login|log in|sign in|sign up|register|next|previous|back to top|skip to content|read more|share this|subscribe|site map|contact us|about us)([ |>/,.:-]+(home|menu|search|login|log in|sign in|sign up|register|next|previous|about|about us|contact|contact us|help|faq|blog|news))*[ .>]*"
-BOILERPLATE = "(all rights reserved|copyright ?(\\(c\\)|©)?.*|©.*|terms (of (use|service)|and conditions).*|privacy policy.*|cookie (policy|settings).*|(we|this (site|website)) uses? cookies.*|click here.*|powered by .*|lorem ipsum.*)"
+LINK = "(all rights reserved|terms of use|terms of service|terms and conditions|privacy policy|cookie policy|cookie settings|legal notice|imprint|accessibility|disclaimer)"
+BOILERPLATE = f"({LINK}([ |/,.&·-]+(and )?{LINK})*[ .]*|(copyright )?(©|\\(c\\)).*|copyright [12][0-9][0-9][0-9]([ ,.-].*)?|(we|this site|this website) uses? cookies([.]| (to|for|on|and) .*|)|click here([.!]*| (to|for) .*)|powered by [^ ]+( [^ ]+)?( [^ ]+)?|lorem ipsum( .*)?)"
 
 _WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
 _SYMBOL, _NAV, _BOILER = re.compile(SYMBOLS), re.compile(NAVIGATION), re.compile(BOILERPLATE)
+_END = re.compile(ENDS)
 _SPACES = "\t\n\x0b\x0c\r "
 _MARKS = re.compile("[#*$%&|<>!?]")
 
@@ -62,20 +70,25 @@ def repeated_words(words: list[str]) -> int:
 
 
 def line_fails(line: str) -> bool:
-    """Whether a line with a word breaks a rule: marks beyond MAX_MARKS per cent (punctuation), a line of links (navigation), or a notice (boilerplate)."""
+    """Whether a line with a word breaks a rule: marks beyond MAX_MARKS per cent or a few words without an end (punctuation), a line of links
+    (navigation), or a notice (boilerplate)."""
     size = len(line) - sum(map(line.count, _SPACES))
     if 100 * len(_MARKS.findall(line)) > MAX_MARKS * size:
         return True
     if (bars := line.count("|")) >= NAV_BARS and BAR_WORDS * bars >= len(_WORDS.findall(line)):
         return True
     low = line.strip(_SPACES).translate(_LOWER)
-    if low[:1] not in _STARTS:
+    ended = bool(_END.match(low[-1:]))
+    if ended and low[:1] not in _STARTS:
         return False
-    return bool(_BOILER.fullmatch(low)) or (len(_WORDS.findall(low)) <= NAV_WORDS and bool(_NAV.fullmatch(low)))
+    n = len(_WORDS.findall(low))
+    if n < END_WORDS and not ended:
+        return True
+    return (n <= NOTICE_WORDS and bool(_BOILER.fullmatch(low))) or (n <= NAV_WORDS and bool(_NAV.fullmatch(low)))
 
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_STARTS = frozenset("abchlmnprstw©")
+_STARTS = frozenset("abcdhilmnprstw©(")
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, bool, bool]:
@@ -111,7 +124,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,7 +142,9 @@ def figures_sql(table: str = "documents") -> str:
     """DuckDB SQL for figures(): the same rules, over lists."""
     word = "[^\\x20\\x09-\\x0D]+"
     fails = (
-        f"(100 * len(regexp_extract_all(l, '[#*$%&|<>!?]')) > {MAX_MARKS} * length(regexp_replace(l, '{SPACE}', '', 'g')) OR regexp_full_match(trimmed(l), '{BOILERPLATE}') "
+        f"(100 * len(regexp_extract_all(l, '[#*$%&|<>!?]')) > {MAX_MARKS} * length(regexp_replace(l, '{SPACE}', '', 'g')) "
+        f"OR (len(regexp_extract_all(l, '{word}')) <= {NOTICE_WORDS} AND regexp_full_match(trimmed(l), '{BOILERPLATE}')) "
+        f"OR (len(regexp_extract_all(l, '{word}')) < {END_WORDS} AND NOT regexp_matches(trimmed(l), '{ENDS.replace(chr(39), chr(39) * 2)}$')) "
         f"OR (length(l) - length(replace(l, '|', '')) >= {NAV_BARS} AND {BAR_WORDS} * (length(l) - length(replace(l, '|', ''))) >= len(regexp_extract_all(l, '{word}'))) "
         f"OR (len(regexp_extract_all(l, '{word}')) <= {NAV_WORDS} AND regexp_full_match(trimmed(l), '{NAVIGATION}')))"
     )

@@ -111,6 +111,24 @@ CASES = {
 }
 
 
+CASES |= {
+    13: "Copyright law in Europe has a long and complicated history that we shall follow here.\nClick here and there was all that could be heard that day.\nPowered by steam engines of a new kind, the mills ran day and night.\nPrivacy policy is a field of study in its own right.\nTerms of use that nobody reads are the rule.",
+    14: f"Copyright 2019 Some Company, all rights reserved.\n© Someone\n(c) 1999 X\nPrivacy policy | Terms of use\nClick here to see more!\nPowered by Some Engine 4.2\nThis site uses cookies to be better.\n{PROSE}",
+    15: "One two\nA heading\nthree more words\n" * 9,
+    16: f"{PROSE}\n" * 2 + "x " * 3000,
+    17: f"“{PROSE}”\n«Fin»\nEt puis…\nwirklich?\n",
+}
+
+
+def test_lines_one_by_one():
+    for line in CASES[13].split("\n"):
+        assert not Q.line_fails(line), line
+    for line in CASES[14].split("\n")[:-1] + ["Copyright 2020", "all rights reserved", "lorem ipsum dolor sit amet", "Two words", "Home | About"]:
+        assert Q.line_fails(line), line
+    for line in ("Two words.", "It’s “done”", "No end here but a whole line of words", "We use cookies in many of our recipes, such as those for cakes."):
+        assert not Q.line_fails(line), line
+
+
 def test_quality_against_sql_and_loops(spark):
     documents = pd.DataFrame(CASES.items(), columns=["doc_id", "text"])  # noqa: F841
     want = sorted(duckdb.sql(Q.figures_sql()).fetchall())
@@ -119,7 +137,9 @@ def test_quality_against_sql_and_loops(spark):
     assert got == want
     kept = Q.accepted(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in got if r[-1])
-    assert {r[0] for r in got if r[-1]} == {4, 7, 8, 11}
+    assert {r[0] for r in got if r[-1]} == {4, 7, 8, 11, 13, 17}
+    twice = df.where("doc_id < 9").unionByName(df.where("doc_id < 9"))
+    assert sorted(tuple(r) for r in Q.figures(twice).collect()) == sorted([r for r in got if r[0] < 9] * 2)
     assert Q.figures(df.limit(0)).count() == 0 and Q.accepted(df.limit(0)).count() == 0
 
 
