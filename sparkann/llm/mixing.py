@@ -18,8 +18,8 @@ from .common import fresh, stored, told, word_count
 
 #: Weights of the sources in order, again and again; copies of a document at most; the seed of the selection.
 WEIGHTS, MAX_COPIES, SEED = (1, 2, 3), 3, 20240229
-#: Patterns that the driver solves for, at most; it raises an error beyond. A pattern is a row of counts, whatever it stands for.
-MAX_PATTERNS = 100_000
+#: Patterns that the driver solves for, at most; it raises an error beyond. A pattern is a row of counts, whatever it stands for. So many are broadcast; more are joined.
+MAX_PATTERNS, MAX_BROADCAST_PATTERNS = 1_000_000, 100_000
 #: Bits of the two levels of the hash histogram, and documents that are tried to fill the last gap of a pattern, on average.
 LEVEL_BITS, FILL = 12, 256
 #: A gap of more than this share of what a pattern sends is filled from all documents.
@@ -46,49 +46,73 @@ def route(supply: list[int], member: list[list[int]], quota: list[int], times: i
     """Flow from each pattern to its sources, of greatest amount, and of least cost among those.
 
     A pattern's k-th use of its supply costs k - 1 a token. The costs are on the arcs into the patterns alone, so the
-    shortest augmenting paths use up all arcs of one cost before the next: a breadth-first search for each amount.
+    shortest augmenting paths use up all arcs of one cost before the next: a greatest flow for each use, by level graphs. A path goes from a pattern to
+    a source, and on from a source that is full by way of any pattern that sends it something and could send that elsewhere; so
+    levels are kept for sources only, and each pattern is looked at once to find them.
     """
-    flow: list[dict[int, int]] = [{s: 0 for s in m} for m in member]
+    flow: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in member]
     left, of_source = list(quota), [[] for _ in quota]
     for p, m in enumerate(member):
         for s in m:
             of_source[s].append(p)
     for _ in range(times):
         spare = list(supply)
-        for start in range(len(supply)):
-            while spare[start]:
-                came: dict[tuple[str, int], tuple[str, int] | None] = {("p", start): None}
-                queue, end = deque([("p", start)]), None
-                while queue and end is None:
-                    kind, x = queue.popleft()
-                    if kind == "p":
-                        nexts = [("s", s) for s in flow[x]]
-                    else:
-                        if left[x]:
-                            end = (kind, x)
-                            break
-                        nexts = [("p", p) for p in of_source[x] if flow[p][x]]
-                    for n in nexts:
-                        if n not in came:
-                            came[n] = (kind, x)
-                            queue.append(n)
-                if end is None:
-                    break
-                path = [end]
-                while came[path[-1]] is not None:
-                    path.append(came[path[-1]])
-                path.reverse()
-                amount = min(spare[start], left[end[1]], *(flow[b[1]][a[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"))
-                for a, b in zip(path, path[1:], strict=False):
-                    if a[0] == "p":
-                        flow[a[1]][b[1]] += amount
-                    else:
-                        flow[b[1]][a[1]] -= amount
-                spare[start] -= amount
-                left[end[1]] -= amount
+        while True:
+            level = _levels(flow, left, of_source)
+            starts = [p for p, n in enumerate(spare) if n and any(s in level for s in flow[p])]
+            if not starts:
+                break
+            at = [0] * len(quota)
+            for p in starts:
+                for s in sorted((s for s in flow[p] if s in level), key=level.__getitem__):
+                    while spare[p] and (sent := _push(s, spare[p], flow, left, of_source, level, at)):
+                        flow[p][s] += sent
+                        spare[p] -= sent
     return flow
 
 
+def _levels(flow: list[dict[int, int]], left: list[int], of_source: list[list[int]]) -> dict[int, int]:
+    """Of each source, over how many patterns the nearest one that is not full can be reached."""
+    level = {s: 0 for s, n in enumerate(left) if n}
+    queue, seen = deque(level), set()
+    while queue:
+        t = queue.popleft()
+        for p in of_source[t]:
+            if p not in seen:
+                seen.add(p)
+                for s, n in flow[p].items():
+                    if n and s not in level:
+                        level[s] = level[t] + 1
+                        queue.append(s)
+    return level
+
+
+def _push(start: int, most: int, flow: list[dict[int, int]], left: list[int], of_source: list[list[int]], level: dict[int, int], at: list[int]) -> int:
+    """Sends up to most from a source down the levels; what was sent, 0 if no way is left. at: how far each source's patterns are tried."""
+    path: list[tuple[int, int, int]] = []
+    s = start
+    while start in level:
+        if left[s]:
+            amount = min([most, left[s], *(flow[p][a] for a, p, _ in path)])
+            for a, p, b in path:
+                flow[p][a] -= amount
+                flow[p][b] += amount
+            left[s] -= amount
+            return amount
+        while at[s] < len(of_source[s]):
+            p = of_source[s][at[s]]
+            if flow[p][s] and (t := next((t for t in flow[p] if level.get(t, -2) == level[s] - 1), None)) is not None:
+                path.append((s, p, t))
+                s = t
+                break
+            at[s] += 1
+        else:
+            del level[s]
+            if path:
+                s = path.pop()[0]
+    return 0
+
+
 class Plan(NamedTuple):
     """rows: pattern, pid, copies, bound; chosen: pid, h; figures of each source: size, target, routed."""
 
@@ -102,9 +126,12 @@ def pattern_of(sources: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
 
 
-def rank_of(key: Column) -> Column:
-    """A seeded hash of 63 bits; rows of the same key are selected together."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(SEED)), 1)
+def rank_of(key: Column, text: Column | None = None) -> Column:
+    """A seeded hash of 63 bits, by which rows are selected: those of the same key together, and those without a key by text."""
+    whole = F.xxhash64(key, F.lit(SEED))
+    if text is not None:
+        whole = F.when(key.isNull(), F.xxhash64(F.lit(SEED), text)).otherwise(whole)
+    return F.shiftrightunsigned(whole, 1)
 
 
 def plan(sized: DataFrame) -> Plan:
@@ -126,7 +153,7 @@ def plan(sized: DataFrame) -> Plan:
     figures = {s: (sizes[s], goal[s], sum(f.get(at[s], 0) for f in flow)) for s in order}
     kinds = "pattern array<string>, pid int, copies int, rest long, n long"
     rows = [(list(r.pattern), k, t // r["size"] if r["size"] else 1, t % r["size"] if r["size"] else 0, r.n) for k, (r, t) in enumerate(zip(found, sent, strict=True))]
-    wanted = F.broadcast(spark.createDataFrame(rows, kinds))
+    wanted = told(spark.createDataFrame(rows, kinds), MAX_BROADCAST_PATTERNS)
 
     part = sized.join(wanted, sized.pattern.eqNullSafe(wanted.pattern)).where("rest > 0").select("pid", "rest", "n", "h", "size")
     second, chosen = _take(part)
@@ -141,13 +168,13 @@ def _take(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     upto = Window.partitionBy("pid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     first = part.groupBy("pid", "rest", F.shiftright("h", one).alias("b")).agg(F.sum("size").alias("size"))
     first = first.withColumn("cum", F.sum("size").over(upto)).where("cum > rest").groupBy("pid", "rest").agg(F.min_by(F.struct("b", F.col("rest") - F.col("cum") + F.col("size")), "b").alias("x"))
-    first = told(stored(first.select("pid", F.col("x.b").alias("b1"), F.col("x.col2").alias("gap1")), "level1"), MAX_PATTERNS)
+    first = told(stored(first.select("pid", F.col("x.b").alias("b1"), F.col("x.col2").alias("gap1")), "level1"), MAX_BROADCAST_PATTERNS)
     inner = part.join(first, "pid").where(F.shiftright("h", one) == F.col("b1"))
     second = inner.groupBy("pid", "gap1", F.shiftright("h", two).alias("b")).agg(F.sum("size").alias("size"))
     second = second.withColumn("cum", F.sum("size").over(upto)).where("cum > gap1").groupBy("pid").agg(F.min_by(F.struct("b", F.col("gap1") - F.col("cum") + F.col("size")), "b").alias("x"))
     second = stored(second.select("pid", F.col("x.b").alias("bound"), F.col("x.col2").alias("gap")), "level2")
     width = F.ceil(F.lit(FILL << (2 * LEVEL_BITS)) / F.col("n"))
-    near = part.join(told(second, MAX_PATTERNS), "pid").where((F.shiftright("h", two) >= F.col("bound")) & (F.shiftright("h", two) <= F.col("bound") + width))
+    near = part.join(told(second, MAX_BROADCAST_PATTERNS), "pid").where((F.shiftright("h", two) >= F.col("bound")) & (F.shiftright("h", two) <= F.col("bound") + width))
     chosen = near.groupBy("pid", "gap", "h").agg(F.sum("size").alias("size")).groupBy("pid").applyInPandas(_fill, "pid int, h long, size long")
     return second, stored(chosen, "chosen")
 
@@ -167,16 +194,16 @@ def _topped_up(part: DataFrame, bounds: DataFrame, chosen: DataFrame, sent: list
     closed(chosen)
     if not large():
         return chosen
-    free = part.join(told(bounds, MAX_PATTERNS), "pid").join(table(large()).select("pid"), "pid", "left_semi").where(F.shiftright("h", two) >= F.col("bound"))
+    free = part.join(told(bounds, MAX_BROADCAST_PATTERNS), "pid").join(table(large()).select("pid"), "pid", "left_semi").where(F.shiftright("h", two) >= F.col("bound"))
     free = free.groupBy("pid", "h").agg(F.sum("size").alias("size")).where("size > 0").join(chosen, ["pid", "h"], "left_anti")
     free = stored(free, "free")
     while now := large():
         fits = free.join(table(now), "pid").where("size <= rest")
-        fits = stored(fits.join(told(fits.groupBy("pid").agg(F.count("*").alias("n")), MAX_PATTERNS), "pid"), "fits")
+        fits = stored(fits.join(told(fits.groupBy("pid").agg(F.count("*").alias("n")), MAX_BROADCAST_PATTERNS), "pid"), "fits")
         if fits.isEmpty():
             break
         bound, filled = _take(fits)
-        below = fits.join(told(bound, MAX_PATTERNS), "pid", "left").where(F.col("bound").isNull() | (F.shiftright("h", two) < F.col("bound")))
+        below = fits.join(told(bound, MAX_BROADCAST_PATTERNS), "pid", "left").where(F.col("bound").isNull() | (F.shiftright("h", two) < F.col("bound")))
         picks = stored(below.select("pid", "h", "size").unionByName(filled), "picks")
         closed(picks)
         chosen = chosen.unionByName(picks)
@@ -203,7 +230,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 def with_copies(rows: DataFrame, made: Plan, pattern: str, h: str, copies: str) -> DataFrame:
     """rows with a column copies: how often the plan takes each. pattern and h name columns of rows."""
     pid, base, bound, extra, key = (fresh([*rows.columns, pattern, h, copies], x) for x in ("pid", "base", "bound", "extra", "key"))
-    plans = F.broadcast(made.rows.select(F.col("pattern").alias(key), F.col("pid").alias(pid), F.col("copies").alias(base), F.col("bound").alias(bound)))
+    plans = told(made.rows.select(F.col("pattern").alias(key), F.col("pid").alias(pid), F.col("copies").alias(base), F.col("bound").alias(bound)), MAX_BROADCAST_PATTERNS)
     out = rows.join(plans, rows[pattern].eqNullSafe(F.col(key)), "left").drop(key)
     picks = told(made.chosen, MAX_BROADCAST_ROWS).select(F.col("pid").alias(extra), F.col("h").alias(key))
     out = out.join(picks, (F.col(pid) == F.col(extra)) & (F.col(h) == F.col(key)), "left")
@@ -222,10 +249,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     source_col is a source, or an array of the sources that the document belongs to; null is a source. size is the number of words of the text,
     0 for null; source_size and target are those of the document's first source. taken is size times the copies taken, of
-    which there are MAX_COPIES at most. Rows with the same id, null too, are taken together. A table without words takes nothing; an empty one
+    which there are MAX_COPIES at most. Rows with the same id are taken together, those without one by text. A table without words takes nothing; an empty one
     gives no rows. Reruns agree: order and layout of the rows don't matter.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), pattern_of(_sources(docs, source_col)).alias("pattern"), word_count(F.col(text_col)).alias("size"), rank_of(F.col(id_col)).alias("h"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), pattern_of(_sources(docs, source_col)).alias("pattern"), word_count(F.col(text_col)).alias("size"), rank_of(F.col(id_col), F.col(text_col)).alias("h"))
     sized = stored(sized, "sized")
     made = plan(sized)
     known = docs.sparkSession.createDataFrame([(s, size, goal) for s, (size, goal, _) in made.sources.items()], "source string, source_size long, target double")
@@ -237,7 +264,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, with all their columns, each as often as mix() takes it. Texts are not shuffled."""
     pattern, h, copies, size = (fresh(docs.columns, x) for x in ("pattern", "h", "copies", "size"))
-    marked = docs.withColumn(pattern, pattern_of(_sources(docs, source_col))).withColumn(h, rank_of(F.col(id_col)))
+    marked = docs.withColumn(pattern, pattern_of(_sources(docs, source_col))).withColumn(h, rank_of(F.col(id_col), F.col(text_col)))
     sized = marked.select(F.col(pattern).alias("pattern"), F.col(h).alias("h"), word_count(F.col(text_col)).alias("size"))
     out = with_copies(marked, plan(stored(sized, "sized")), pattern, h, copies)
     return out.withColumn(size, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(pattern, h, copies, size)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,86 @@ def test_the_straddling_document_is_taken_where_that_is_nearer(spark, monkeypatc
     sized = M.stored(spark.range(2).select(F.array(F.lit("a")).alias("pattern"), F.lit(1000).cast("long").alias("size"), M.rank_of(F.col("id")).alias("h")), "sized")
     monkeypatch.setattr(M, "targets", lambda sizes, total: {"a": 1900.0})
     assert M.with_copies(sized, M.plan(sized), "pattern", "h", "copies").agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 2000
+
+
+def plain_flow(supply, member, quota, times=3):
+    """One path after the other, found by a search of its own for each token's amount."""
+    flow, left = [dict.fromkeys(m, 0) for m in member], list(quota)
+    for _ in range(times):
+        for p0, spare in enumerate(supply):
+            while spare:
+                came, todo, end = {("p", p0): None}, [("p", p0)], None
+                for kind, x in todo:
+                    if kind == "s" and left[x]:
+                        end = (kind, x)
+                        break
+                    for n in [("s", s) for s in flow[x]] if kind == "p" else [("p", p) for p in range(len(flow)) if flow[p].get(x)]:
+                        if n not in came:
+                            came[n] = (kind, x)
+                            todo.append(n)
+                if end is None:
+                    break
+                path = [end]
+                while came[path[-1]]:
+                    path.append(came[path[-1]])
+                path = path[::-1]
+                n = min([spare, left[end[1]]] + [flow[b[1]][a[1]] for a, b in zip(path, path[1:]) if a[0] == "s"])
+                for a, b in zip(path, path[1:]):
+                    if a[0] == "p":
+                        flow[a[1]][b[1]] += n
+                    else:
+                        flow[b[1]][a[1]] -= n
+                spare, left[end[1]] = spare - n, left[end[1]] - n
+    return flow
+
+
+def test_flow_against_single_paths_with_many_overlaps():
+    r = random.Random(9)
+    for _ in range(30):
+        n, k = r.randint(1, 60), r.randint(1, 9)
+        supply = [r.randint(0, 50) for _ in range(n)]
+        member = [sorted(r.sample(range(k), r.randint(1, k))) for _ in range(n)]
+        quota = [r.randint(0, 400) for _ in range(k)]
+        got, want = M.route(supply, member, quota), plain_flow(supply, member, quota)
+        assert all(0 <= sum(f.values()) <= 3 * s and min(f.values()) >= 0 for f, s in zip(got, supply, strict=True))
+        assert all(sum(f.get(s, 0) for f in got) <= q for s, q in enumerate(quota))
+        assert (sum(sum(f.values()) for f in got), cost(got, supply)) == (sum(sum(f.values()) for f in want), cost(want, supply))
+
+
+def test_flow_of_some_thousand_overlapping_patterns():
+    r = random.Random(3)
+    member = [sorted(x) for x in {frozenset(r.sample(range(40), r.randint(1, 5))) for _ in range(6000)}]
+    supply = [r.randint(1, 10**9) for _ in member]
+    sizes = [sum(s for s, m in zip(supply, member, strict=True) if k in m) for k in range(40)]
+    goal = M.targets({f"{k:02}": s for k, s in enumerate(sizes)}, sum(supply))
+    began = time.monotonic()
+    flow = M.route(supply, member, [round(goal[f"{k:02}"]) for k in range(40)])
+    assert time.monotonic() - began < 30
+    got = [sum(f.get(k, 0) for f in flow) for k in range(40)]
+    assert all(abs(g - goal[f"{k:02}"]) <= 1 for k, g in enumerate(got))
+
+
+def test_overlapping_sources_reach_their_targets(spark):
+    r = random.Random(1)
+    rows = [(i, r.sample(["a", "b", "c", "d", "e"], r.randint(1, 4)), "w " * r.randint(1, 60)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source array<string>, text string")
+    sized = M.stored(df.select(M.pattern_of(F.col("source")).alias("pattern"), M.word_count(F.col("text")).alias("size"), M.rank_of(F.col("doc_id")).alias("h")), "sized")
+    made = M.plan(sized)
+    total = sum(len(t.split()) for _, _, t in rows)
+    assert all(abs(routed - goal) <= 1 for _, goal, routed in made.sources.values())
+    got = M.mix(df).collect()
+    assert abs(sum(x.taken for x in got) - total) < 0.01 * total and len(got) == 4000
+    per = {}
+    for x in got:
+        per[tuple(x.pattern)] = per.get(tuple(x.pattern), 0) + x.taken
+    sent = {tuple(x.pattern): x.sent for x in M.mix(df).groupBy("pattern").agg(F.sum("taken").alias("sent")).collect()}
+    assert per == sent
+
+
+def test_a_hot_null_id_is_taken_by_text(spark):
+    rows = [(None, "a", f"w{i} " * 50) for i in range(600)] + [(i, "b", "w " * 50) for i in range(600)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for s in "ab":
+        own = [r for r in got if r.pattern == [s]]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+    assert {r.taken for r in got if r.doc_id is None} == {0, 50}
