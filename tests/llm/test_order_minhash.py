@@ -46,13 +46,19 @@ def test_likeness_follows_edits_and_order():
     assert O.likeness(f(text), f(text)) == 1.0
 
 
+def ordered(spark, data):
+    """By descending id, nulls last, then by descending text hash."""
+    found = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in data], "t string").select("t", O.F.xxhash64("t").alias("h")).collect()}
+    return sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), -found[r[1] or ""]))
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 def test_compare_against_a_loop(spark, monkeypatch, rows):
     monkeypatch.setattr(O, "RANGE_ROWS", rows)
     data = [(7, TEXTS[7]), (3, None), (9, TEXTS[6]), (9, TEXTS[5]), (None, "null id"), (-4, TEXTS[7]), (12, TEXTS[4]), (3, "again"), (3, "again"), (100, "")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], "doc_id long, text string, fingerprint string, `range` int")
     got = sorted((tuple(r) for r in O.compare(df).collect()), key=repr)
-    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = ordered(spark, data)
     want = []
     for k, (i, t) in enumerate(order):
         a, b = t or "", order[(k + 1) % len(order)][1] or ""
@@ -65,3 +71,22 @@ def test_empty_table_and_single_row(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert O.compare(df.limit(0)).count() == 0
     assert O.compare(df).first().near_next == 1.0
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_a_hot_id_is_dealt_over_ranges(spark, monkeypatch, key):
+    monkeypatch.setattr(O, "RANGE_ROWS", 20)
+    data = [(key, f"text number {i}") for i in range(300)] + [(key, "the same text")] * 200 + [(i, f"other {i}") for i in range(100, 130)] + [(i, "low") for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    dealt = O.with_following(df, "doc_id", "text").where("guard = 0").groupBy("range").agg(O.F.count("*").alias("rows"), O.F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in dealt) == len(data) and max(r.rows for r in dealt) < 100 and len(dealt) > 8
+    got = sorted((tuple(r)[:3] for r in O.compare(df).collect()), key=repr)
+    order, want = ordered(spark, data), []
+    for k, (i, a) in enumerate(order):
+        want.append((i, len(a), hashlib.sha256(O.edited(a, order[(k + 1) % len(order)][1]).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        O.compare(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
