@@ -226,6 +226,31 @@ def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entry: int,
     return run_queries(queries, lambda q: dst_search(g.value, q, entry, ef, cq, mc, mg, output == "trace"), output)
 
 
+def sweep(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entry: int, settings: list[tuple[int, int, int, int]], truth: DataFrame) -> DataFrame:
+    """ef, cq, mc, mg, recall_1, recall_10, avg_hops, avg_visited of each setting (ef, cq, mc, mg) over all queries; truth: qid, rank, node_id to rank 10.
+
+    A task runs all settings for its queries and tells of each how many of its first ten are true, so a row a query and setting is shuffled."""
+    held = queries.sparkSession.sparkContext.broadcast((load(vectors, edges), settings))
+    true = truth.where("rank <= 10").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id"))).alias("t"))
+    asked = queries.select(F.col("qid").cast("long"), "embedding").join(true, "qid").select("qid", "embedding", F.transform("t", lambda x: x["node_id"]).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, cases = held.value
+        for b in batches:
+            rows = []
+            for v, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for ef, cq, mc, mg in cases:
+                    f = dst_search(g, np.array(v, float), entry, ef, cq, mc, mg)
+                    ids = [x for _, x in f.result[:10]]
+                    rows.append((ef, cq, mc, mg, int(ids[:1] == t[:1]), len({*ids} & {*t}), len(t), f.hops, f.visited))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], names)
+
+    names = ["ef", "cq", "mc", "mg", "first", "hits", "n", "hops", "visited"]
+    found = asked.mapInArrow(run, ", ".join(f"{x} int" for x in names)).groupBy("ef", "cq", "mc", "mg")
+    return found.agg(F.avg("first").alias("recall_1"), (F.sum("hits") / F.sum("n")).alias("recall_10"), F.avg("hops").alias("avg_hops"), F.avg("visited").alias("avg_visited"))
+
+
 def layered_search(queries: DataFrame, vectors: DataFrame, layers: DataFrame, entry: int, top: int, ef: int = 64, output: str = "results") -> DataFrame:
     """HNSW: greedy descent through the upper layers, then layer_search() from there."""
     held = {lv: load(vectors, layers.where(F.col("level") == lv)) for lv in range(top + 1)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions.hashing import bucket, murmur2, sql_murmur2
 from ..operators import evaluation, graph, ivf, knn, traversal
+from . import traversal_sql as T
 from .analysis_queries import _ASSIGN, _MEAN, cells
 from .registry import Q, V, asked, knn_sql, query, vectors
 from .search_queries import _TRUTH, KNN16, L2, halved, near16
@@ -112,14 +113,17 @@ def g5_split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).groupBy(F.pmod(F.floor(F.col("qid") / 50), F.lit(6)).alias("channel")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {KNN16}, {V}, l AS (SELECT {LEVEL} AS level, node_id FROM v) SELECT src, count(*) AS n FROM e JOIN l ON node_id = src WHERE level > 0 GROUP BY src")
+@query(f"WITH RECURSIVE {T.layered(8)}, u AS (" + " UNION ALL ".join(f"SELECT {k} AS level, src, dst FROM m{k}" for k in range(1, 7)) + ") SELECT CAST(level AS INTEGER) AS level, src, dst, d AS dist FROM u JOIN pr ON a = src AND b = dst")
 def g11_upper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of nodes above the base layer, joined on level and source."""
-    up = graph.levels(vectors(spark, sf_dir), 16).where("level > 0").select(F.col("node_id").alias("src"))
-    return near16(spark, sf_dir).join(up, "src").groupBy("src").agg(F.count("*").alias("n"))
+    """Neighbours in the upper layers, by a join on level and source, with their distances."""
+    v = vectors(spark, sf_dir)
+    up = graph.layered(v, 8)[0].where("level > 0").select("level", "src", "dst")
+    at = graph.levels(v, 8).where("level > 0").select(F.col("node_id").alias("src"), F.explode(F.sequence(F.lit(1), "level")).alias("level"))
+    here, there = v.select(F.col("node_id").alias("src"), F.col("embedding").alias("x")), v.select(F.col("node_id").alias("dst"), F.col("embedding").alias("y"))
+    return at.join(up, ["level", "src"]).join(here, "src").join(there, "dst").select("level", "src", "dst", D.squared_l2(F.col("x"), F.col("y")).alias("dist"))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.layered(8)}, {T.descent('t')} SELECT qid, CAST(1 AS INTEGER) AS rank, node AS node_id, dd[node + 1] AS dist FROM t JOIN dd USING (qid) WHERE lev = 0")
 def g10_greedy_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the descent through the upper layers ends for each query."""
     v = vectors(spark, sf_dir)
@@ -146,12 +150,6 @@ def e5_recall_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.recall_at(knn.knn(cut(q), cut(v), 100), knn.knn(q, v, 100), [100]).select("hits", F.round("recall", 9).alias("recall"))
 
 
-@query(f"WITH {KNN16} SELECT round(avg(h), 6) AS avg_hops, round(avg(x), 6) AS avg_visited FROM (SELECT src, max(pos) AS h, count(DISTINCT dst) AS x FROM e GROUP BY src)")
-def e7_average_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = near16(spark, sf_dir).groupBy("src").agg(F.max("pos").alias("hops"), F.countDistinct("dst").alias("visited"))
-    return evaluation.average_counters(stats).select(F.round("avg_hops", 6).alias("avg_hops"), F.round("avg_visited", 6).alias("avg_visited"))
-
-
 @query(f"WITH {V}, {_MEAN}, {_ASSIGN}, n AS (SELECT cell_id, count(*) AS n FROM a GROUP BY cell_id) SELECT cell_id, n, CAST(coalesce(sum(n) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n")
 def v7_cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each cell and where they would start; a row for each cell, of which there are few."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -12,6 +12,7 @@ from ..functions.hashing import hashed_level, murmur2, sql_murmur2
 from ..operators import evaluation, graph, knn, membership, superstep, traversal
 from ..session import scratch
 from ..streaming import serving
+from . import traversal_sql as T
 from .registry import Q, V, asked, knn_sql, query, vectors
 
 L2 = D.sql_l2("q.embedding", "v.embedding")
@@ -202,23 +203,39 @@ def x15_upsert_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.remove(graph.upsert(v, new), v.where("node_id % 10 = 9").select("node_id")).select("node_id", "label")
 
 
-@query()
+@query(f"WITH RECURSIVE {T.PAIRS}, {T.near('n', 16)}, {T.diverse('x', 'n', 8)} SELECT src, dst, CAST(pos AS INTEGER) AS pos, dist FROM x")
 def x5_diverse_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.select_diverse(near16(spark, sf_dir), vectors(spark, sf_dir), 8)
 
 
-@query()
+@query(f"WITH RECURSIVE {T.PAIRS}, {T.near('n', 16)}, {T.diverse('x', 'n', 8)}, {T.mutual('y', 'x', 12)} SELECT src, dst, CAST(pos AS INTEGER) AS pos, dist FROM y")
 def x6_mutual_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links both ways; a node with more than 12 is pruned again."""
     v = vectors(spark, sf_dir)
-    return graph.mutual(graph.select_diverse(near16(spark, sf_dir), v, 8), v, 16)
+    return graph.mutual(graph.select_diverse(near16(spark, sf_dir), v, 8), v, 12)
 
 
-@query()
+_REPAIR = f"""{T.PAIRS}, {T.near('n', 16)}, lost AS (SELECT DISTINCT src FROM n WHERE dst < 10 AND src >= 10),
+o AS (SELECT n.src, n.dst AS mid FROM n JOIN lost USING (src)), around AS (SELECT src, mid AS dst FROM o UNION SELECT o.src, n.dst FROM o JOIN n ON n.src = o.mid),
+scored AS (SELECT src, dst, d AS dist FROM around JOIN pr ON a = src AND b = dst WHERE src <> dst AND dst >= 10), {T.diverse('x', 'scored', 16)}"""
+
+
+@query(f"WITH RECURSIVE {_REPAIR} SELECT src, dst, CAST(pos AS INTEGER) AS pos, dist FROM x UNION ALL SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS INTEGER), dist FROM n WHERE src >= 10 AND src NOT IN (SELECT src FROM lost)")
 def x7_repair_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nodes go; those that pointed there are linked anew."""
     v = vectors(spark, sf_dir)
     return graph.repair_after_delete(near16(spark, sf_dir), v, v.where("node_id < 10").select("node_id"), 16)
 
 
+_NAVIGATING = f"{T.PAIRS}, {T.near('n', 24)}, {T.diverse('x', 'n', 12)}, {T.medoid('e')}, r AS (SELECT entry AS node_id FROM e UNION SELECT dst FROM r JOIN x ON src = r.node_id)"
+
+
+@query(f"WITH RECURSIVE {_NAVIGATING}, l AS (SELECT vec_id AS dst FROM embeddings WHERE vec_id NOT IN (SELECT node_id FROM r)) SELECT src, dst, dist FROM x UNION ALL SELECT b AS src, a AS dst, d AS dist FROM pr WHERE a IN (SELECT dst FROM l) AND b IN (SELECT node_id FROM r) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1")
+def x11_navigating_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's edges: the pruned ones, and ties to what the navigating node doesn't reach by them."""
+    return graph.navigating_graph(vectors(spark, sf_dir), 24, 12)[0].select("src", "dst", "dist")
+
+
 @query("SELECT vec_id AS node_id, label FROM embeddings")
 def x11_navigating_graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node can be reached from the navigating node."""
@@ -231,57 +248,128 @@ def x11_navigating_graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g1_best_first_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With queues as large as the graph, best-first search is exact."""
     v, e, entry = linked(spark, sf_dir)
-    found = traversal.search(asked(spark, sf_dir), v, e, entry, ef=4000, cq=4000)
+    n = v.count()
+    found = traversal.search(asked(spark, sf_dir), v, e, entry, ef=n, cq=n)
     return knn.top_k(found.drop("rank").where("qid <> node_id"), 10).select("qid", "rank", "node_id", "dist")
 
 
 @query(knn_sql(L2))
 def g3_delayed_sync_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
-    found = traversal.search(asked(spark, sf_dir), v, e, entry, ef=4000, cq=4000, mc=2, mg=4)
+    n = v.count()
+    found = traversal.search(asked(spark, sf_dir), v, e, entry, ef=n, cq=n, mc=2, mg=4)
     return knn.top_k(found.drop("rank").where("qid <> node_id"), 10).select("qid", "rank", "node_id", "dist")
 
 
-@query()
+def _searched(ef: int, cq: int, mc: int, mg: int) -> str:
+    """The start of a statement that has the states s of a search of the linked graph."""
+    return f"WITH RECURSIVE {T.linked()}, {T.settings((ef, cq, mc, mg))}, {T.search('s', 'p')}"
+
+
+@query(f"{_searched(64, 32, 1, 1)} {T.listed('s')}")
 def g1_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
     return traversal.search(asked(spark, sf_dir), v, e, entry, ef=64)
 
 
-@query()
+@query(f"{_searched(64, 32, 4, 1)} {T.listed('s')}")
 def g2_multi_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
     return traversal.search(asked(spark, sf_dir), v, e, entry, ef=64, mc=4)
 
 
-@query()
+@query(f"{_searched(64, 32, 4, 4)} {T.listed('s')}")
 def g3_delayed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
     return traversal.search(asked(spark, sf_dir), v, e, entry, ef=64, mc=4, mg=4)
 
 
-@query()
-def g4_superstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_searched(8, 8, 8, 2)} {T.listed('s')}")
+def g3_superstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The superstep form, with a small queue: a round is some jobs."""
     v, e, entry = linked(spark, sf_dir)
     return superstep.search(asked(spark, sf_dir), v, e.checkpoint(), entry, ef=8, cq=8, mc=8, mg=2)[0]
 
 
-@query()
+def intra_query(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results, and what each of four channels scored."""
+    v, e, entry = linked(spark, sf_dir)
+    results, _, scored = superstep.search(asked(spark, sf_dir), v, e.checkpoint(), entry, ef=12, cq=8, mc=8, mg=2, channels=4)
+    return results, scored
+
+
+@query(f"{_searched(12, 8, 8, 2)} {T.listed('s')}")
+def g4_intra_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All channels work on one query: a group's neighbours are dealt to them, each filters by the group before, and their answers are gathered."""
+    return intra_query(spark, sf_dir)[0]
+
+
+@query(f"{_searched(12, 8, 8, 2)} SELECT qid, node % 4 AS channel, count(*) AS n FROM (SELECT qid, unnest(V) AS node FROM s WHERE {T.DONE}) GROUP BY 1, 2")
+def g7_neighbour_tasks_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distances each channel had to compute for a query."""
+    return intra_query(spark, sf_dir)[1].groupBy("qid", "channel").agg(F.count("*").alias("n"))
+
+
+@query(f"{_searched(12, 8, 8, 2)} SELECT s.qid, CAST(row_number() OVER (PARTITION BY s.qid ORDER BY d, b) AS INTEGER) AS rank, b AS node_id, d AS dist FROM (SELECT qid, unnest(V) AS node FROM s WHERE {T.DONE}) s JOIN pr ON a = s.qid AND b = node")
+def g8_gathered_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances of all channels in one order."""
+    scored = intra_query(spark, sf_dir)[1]
+    return knn.merge([scored.where(F.col("channel") == c) for c in range(4)], None).select("qid", "rank", "node_id", "dist")
+
+
+SWEEP = [(ef, 32, mc, mg) for ef in (16, 64) for mc in (1, 2, 4) for mg in (1, 2, 4)]
+_SWEPT = f"""WITH RECURSIVE {T.linked()}, {T.settings(*SWEEP)}, {T.search('s', 'p')}, f AS (SELECT * FROM s WHERE {T.DONE}),
+r AS (SELECT qid, ef, mc, mg, unnest(range(1, len(R) + 1)) AS rank, unnest(list_transform(R, lambda x: x.id)) AS node_id FROM f),
+t AS (SELECT a AS qid, b AS node_id, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM pr WHERE a % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10),
+h AS (SELECT ef, mc, mg, sum(CASE WHEN r.rank = 1 AND t.rank = 1 THEN 1 ELSE 0 END) AS h1, sum(CASE WHEN r.rank <= 10 THEN 1 ELSE 0 END) AS h10 FROM r JOIN t USING (qid, node_id) GROUP BY ef, mc, mg),
+c AS (SELECT ef, mc, mg, count(*) AS n, avg(hops) AS avg_hops, avg(visited) AS avg_visited FROM f GROUP BY ef, mc, mg)
+SELECT ef, mc, mg, round(h1 / n, 9) AS recall_1, round(h10 / (n * 10), 9) AS recall_10, round(avg_hops, 6) AS avg_hops, round(avg_visited, 6) AS avg_visited FROM h JOIN c USING (ef, mc, mg)"""
+
+
+@query(_SWEPT)
+def g3_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, hops and visited nodes of each setting (ef, mc, mg): one pass over the queries, the graph gathered once."""
+    v, e, entry = linked(spark, sf_dir)
+    q = asked(spark, sf_dir)
+    out = traversal.sweep(q, v, e, entry, SWEEP, knn.knn(q, v, 10, exclude_self=False))
+    return out.select("ef", "mc", "mg", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_10")], *[F.round(c, 6).alias(c) for c in ("avg_hops", "avg_visited")])
+
+
+@query(f"WITH RECURSIVE {T.layered(8)}, {T.descent('t')}, {T.layer_search('s', 32, 'SELECT qid, node FROM t WHERE lev = 0')} {T.listed('s', 'NOT more')}")
 def g12_layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     layers, entry, top = graph.layered(v, 8)
     return traversal.layered_search(asked(spark, sf_dir), v, layers, entry, top, ef=32)
 
 
-@query()
+@query(f"WITH RECURSIVE {T.layered(8)} SELECT CAST(level AS INTEGER) AS level, src, dst, CAST(pos AS INTEGER) AS pos FROM (" + " UNION ALL ".join(f"SELECT {k} AS level, src, dst, pos FROM m{k}" for k in range(7)) + ")")
+def x2_layered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every layer."""
+    return graph.layered(vectors(spark, sf_dir), 8)[0].select("level", "src", "dst", "pos")
+
+
+@query(f"WITH RECURSIVE {T.linked()}, {T.pool_search('s', 32)} {T.listed('s', 'next IS NULL')}")
 def g14_pool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
     g = spark.sparkContext.broadcast(traversal.load(v, e))
     return traversal.run_queries(asked(spark, sf_dir), lambda q: traversal.pool_search(g.value, q, entry, 32))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.linked()}, {T.layer_search('s', 32, 'SELECT qid, CAST(entry AS BIGINT) AS node FROM dd, e', 'g')} {T.listed('s', 'NOT more')}")
+def g15_two_queue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph with two queues, the candidates' without bound."""
+    v, e, entry = linked(spark, sf_dir)
+    g = spark.sparkContext.broadcast(traversal.load(v, e))
+    return traversal.run_queries(asked(spark, sf_dir), lambda q: traversal.layer_search(g.value, q, entry, 32))
+
+
+def _half(s: int) -> str:
+    """The searched half s of the ids, as states s0 or s1."""
+    among = f"({{}} * 2) // (SELECT count(*) FROM embeddings) = {s}"
+    return f"{T.near(f'n{s}', 16, among)}, {T.with_reverse(f'r{s}', f'n{s}', 32)}, {T.adjacency(f'g{s}', f'r{s}')}, {T.medoid(f'e{s}', among)}, {T.search(f's{s}', 'p', f'g{s}', f'e{s}')}"
+
+
+@query(f"WITH RECURSIVE {T.PAIRS}, {T.settings((32, 32, 1, 1))}, {_half(0)}, {_half(1)}, u AS ({T.listed('s0')} UNION ALL {T.listed('s1')}) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) AS INTEGER) AS rank, node_id, dist FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) <= 32")
 def g16_subgraph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two independent graphs over id ranges, their results merged."""
     v, parts = vectors(spark, sf_dir), []
@@ -293,16 +381,29 @@ def g16_subgraph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.merge(parts, 32).select("qid", "rank", "node_id", "dist")
 
 
-@query()
+@query(f"{_searched(16, 32, 1, 1)} SELECT qid, CAST(visited - len(scored) + unnest(range(0, len(scored))) AS INTEGER) AS step, cand AS cand_id, unnest(list_transform(scored, lambda x: x.id)) AS node_id, unnest(list_transform(scored, lambda x: x.d)) AS dist FROM s WHERE len(scored) > 0")
 def g17_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
     return traversal.search(asked(spark, sf_dir), v, e, entry, ef=16, output="trace")
 
 
-@query()
+@query(f"{_searched(64, 32, 2, 2)} SELECT qid, CAST(hops AS INTEGER) AS hops, CAST(visited AS INTEGER) AS visited FROM s WHERE {T.DONE}")
 def g18_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e, entry = linked(spark, sf_dir)
-    return evaluation.average_counters(traversal.search(asked(spark, sf_dir), v, e, entry, ef=64, mc=2, mg=2, output="stats"))
+    return traversal.search(asked(spark, sf_dir), v, e, entry, ef=64, mc=2, mg=2, output="stats")
+
+
+@query(f"{_searched(64, 32, 2, 2)} SELECT round(avg(hops), 6) AS avg_hops, round(avg(visited), 6) AS avg_visited FROM s WHERE {T.DONE}")
+def e7_average_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.average_counters(g18_counters(spark, sf_dir))
+    return out.select(F.round("avg_hops", 6).alias("avg_hops"), F.round("avg_visited", 6).alias("avg_visited"))
+
+
+@query(f"{_searched(16, 32, 1, 1)} SELECT qid, cand AS cand_id, CAST(len(scored) AS BIGINT) AS n, CAST(visited - len(scored) AS BIGINT) AS \"offset\" FROM s WHERE len(scored) > 0")
+def e8_step_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each expanded candidate's neighbours begin among all that a search scored."""
+    steps = g17_trace(spark, sf_dir).groupBy("qid", "cand_id").agg(F.min("step").alias("step"), F.count("*").alias("n"))
+    return evaluation.step_offsets(steps, keep=("cand_id",)).select("qid", "cand_id", "n", "offset")
 
 
 @query(f"WITH {V} SELECT node_id, " + ", ".join(f"CAST({sql_murmur2('node_id', s)} AS BIGINT) AS h{s}" for s in (1, 2, 3)) + " FROM v")
@@ -350,16 +451,16 @@ def e6_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.tie_counts(*halved(spark, sf_dir))
 
 
-@query(f"WITH {KNN16}, s AS (SELECT src AS qid, CAST(pos AS INTEGER) AS step, 1 + dst % 5 AS n FROM e) SELECT qid, step, n, CAST(coalesce(sum(n) OVER (PARTITION BY qid ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s")
-def e8_step_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = near16(spark, sf_dir).select(F.col("src").alias("qid"), F.col("pos").alias("step"), (F.pmod("dst", F.lit(5)) + 1).alias("n"))
-    return evaluation.step_offsets(steps)
-
-
-@query("WITH t AS (SELECT vec_id AS pos, CASE WHEN vec_id % 25 = 0 THEN -1 WHEN vec_id % 25 = 24 THEN -2 ELSE vec_id END AS v FROM embeddings) SELECT 'a' AS file, qid, pos, v FROM (SELECT *, CAST(sum(CASE WHEN v = -1 THEN 1 ELSE 0 END) OVER (ORDER BY pos) - 1 AS BIGINT) AS qid FROM t) WHERE v NOT IN (-1, -2)")
+@query(f"{_searched(16, 32, 1, 1)} SELECT qid, CAST(visited - len(scored) + unnest(range(0, len(scored))) AS BIGINT) AS step, unnest(list_transform(scored, lambda x: x.id)) AS node_id FROM s WHERE len(scored) > 0")
 def e8_trace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.when(F.col("node_id") % 25 == 0, -1).when(F.col("node_id") % 25 == 24, -2).otherwise(F.col("node_id"))
-    return evaluation.segments(vectors(spark, sf_dir).select(F.lit("a").alias("file"), F.col("node_id").alias("pos"), v.alias("v")))
+    """A trace as a flat file of node ids, in which -1 starts a query and -2 ends one, cut into queries again."""
+    trace = g17_trace(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+    place = F.col("qid") * 1_000_000 + F.col("step") + 1
+    marks = trace.select("qid", "n").distinct().select(F.explode(F.array(F.struct((F.col("qid") * 1_000_000).alias("pos"), F.lit(-1).cast("long").alias("v")), F.struct((F.col("qid") * 1_000_000 + F.col("n") + 1).alias("pos"), F.lit(-2).cast("long").alias("v")))).alias("m"))
+    flat = trace.select(place.alias("pos"), F.col("node_id").alias("v")).unionByName(marks.select("m.pos", "m.v")).withColumn("file", F.lit("a"))
+    cut = evaluation.segments(flat)
+    first = cut.groupBy("qid").agg(F.min("pos").alias("first"))
+    return cut.join(first, "qid").select((F.col("qid") * 50).alias("qid"), (F.col("pos") - F.col("first")).alias("step"), F.col("v").alias("node_id"))
 
 
 @query(knn_sql(L2))
