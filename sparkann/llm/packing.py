@@ -9,10 +9,11 @@ and what is left is packed greedily, cut where a sequence ends.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import lean
+
 SEQUENCE, END_ID = 2048, 1
 #: Width of a length class in tokens, and ends of documents that are packed together.
 CLASS, WINDOW = 8, 20_000
@@ -42,13 +45,19 @@ class Encoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None) -> None:
-        self.slow, self.fast, self.special = Tokenizer.from_file(json_path), None, ()
-        self.special = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
+        self.json_path, self.fast, self.special = json_path, None, ()
         if ranks_path:
+            with open(json_path, encoding="utf-8") as f:
+                self.special = tuple(t["content"] for t in json.load(f)["added_tokens"])
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """Made when a text needs it, as it takes much memory."""
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
         if self.fast is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
@@ -209,4 +218,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_p
             yield batch(id_type, done)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)

@@ -11,14 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .common import components, fresh, stored
+from .common import components, stored
 
 SEED = 42
 SEGMENTS, BITS, RADIUS = 4, 16, 3
@@ -166,29 +164,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes(fps), "fp").select("doc_id", "fp", "component_id", "root")
 
 
-@F.pandas_udf(LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    """Fingerprints of texts, as longs."""
-    return pd.Series(np.array([simhash(None if t is None else t.encode()) for t in texts], np.uint64).view(np.int64))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each component: that with the smallest id; of equal ids the smallest text.
-
-    All columns are kept. Of a component without any id, the row of smallest text stays; null texts come first.
-    """
-    key, found, row = (fresh(docs.columns, x) for x in ("key", "found", "row"))
-    found_classes = classes(stored(fingerprints(docs, id_col, text_col), "fingerprints"))
-    order = [F.col(text_col).asc_nulls_first(), *[F.col(c) for c in docs.columns if c not in (id_col, text_col) and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]]
-    ids = found_classes.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
-    named = docs.join(ids, F.col(id_col) == F.col(key), "left_semi")
-    named = named.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
-    bare = docs.where(F.col(id_col).isNull()).withColumn(key, fingerprint_of(F.col(text_col)))
-    bare = bare.join(found_classes.where("component_id is null").select(F.col("fp").alias(key), F.col("root").alias(found)), key)
-    bare = bare.withColumn(row, F.row_number().over(Window.partitionBy(found).orderBy(*order))).drop(key, found)
-    return named.unionByName(bare).where(F.col(row) == 1).drop(row)
-
-
 def hex_of(fp: str = "fp"):
     """A long as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

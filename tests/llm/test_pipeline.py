@@ -1,6 +1,7 @@
 import corpus_pipeline as P
-from sparkann.llm import language_id, quality, simhash
+from sparkann.llm import language_id, quality
 from sparkann.llm.common import stored
+from tests.llm.test_near_copies import brute_kept
 
 DATA = "/root/testdata/sf0.01"
 
@@ -22,9 +23,9 @@ def test_stages_against_their_operators(spark):
     assert sorted(ids[2]) == sorted(r.doc_id for r in quality.figures(steps[1]).where("kept").collect())
     clean = [i for i in ids[1] if labels.get(i) == 1]
     assert sum(i in set(ids[2]) for i in clean) > 0.95 * len(clean)
-    # Near-duplicates: the smallest id of each component.
-    marks = simhash.near_duplicates(steps[2]).collect()
-    assert sorted(ids[3]) == sorted({r.component_id for r in marks})
+    # Near-duplicates: the smallest id of each component of texts whose five-word shingles have a similarity of 0.8 or more, by all pairs.
+    rows = [(r.doc_id, r.text) for r in steps[2].select("doc_id", "text").collect()]
+    assert sorted(ids[3]) == sorted(rows[i][0] for i in brute_kept(rows))
     # Mixing: known documents, three times at most.
     assert set(ids[4]) <= set(ids[3]) and max(ids[4].count(i) for i in set(ids[4])) <= 3
     # Packing: every copy is packed.
