@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import squared_l2
 from ..functions.hashing import hashed_level
+from ..session import stored
 from .knn import knn
 
 
@@ -58,25 +61,52 @@ def medoid(vectors: DataFrame) -> DataFrame:
 
 
 def select_diverse(edges: DataFrame, vectors: DataFrame, m: int, fill: bool = False) -> DataFrame:
-    """src, dst, pos, dist: of each node's neighbours, nearest first, those nearer to the node than to every one already taken, m at most. Fewer than m
-    are left as they are. A group is one node's neighbour list, whose length the graph bounds."""
-
-    def prune(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["dist", "dst"]).reset_index(drop=True)
-        if len(rows) >= m:
-            v, taken = np.stack(rows["embedding"]).astype(float), []
-            for i, d in enumerate(rows["dist"]):
-                if len(taken) == m:
-                    break
-                if not taken or (((v[taken] - v[i]) ** 2).sum(1) > d).all():
-                    taken.append(i)
-            if fill:
-                taken = sorted([*taken, *[i for i in range(len(rows)) if i not in taken][: m - len(taken)]])
-            rows = rows.loc[taken]
-        return pd.DataFrame({"src": rows["src"], "dst": rows["dst"], "pos": np.arange(len(rows), dtype=np.int32), "dist": rows["dist"]})
-
-    full = edges.select("src", "dst", "dist").join(vectors.select(F.col("node_id").alias("dst"), "embedding"), "dst")
-    return full.groupBy("src").applyInPandas(prune, "src long, dst long, pos int, dist double")
+    """src, dst, pos, dist: of each node's neighbours, nearest first, those nearer to the node than to every one already taken, m at most. Nodes with fewer
+    than m neighbours keep them all; with fill, the nearest others take the free places. Neighbours come sorted, and a task holds m of a node's at
+    most (2 m with fill), so a hub with very many is only read through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {"src": None}
+        out: list[tuple[int, int, int, float]] = []
+
+        def close() -> None:
+            if state["src"] is None:
+                return
+            if state["n"] < m:
+                rows = state["first"]
+            else:
+                rows = sorted(state["taken"] + state["first"][: m - len(state["taken"])] if fill else state["taken"])
+            out.extend((state["src"], dst, k, dist) for k, (dist, dst) in enumerate(rows))
+
+        for b in batches:
+            src, dst, dist, vectors_ = (b.column(k) for k in range(4))
+            flat = vectors_.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for k, (s, x, d) in enumerate(zip(src.to_pylist(), dst.to_pylist(), dist.to_pylist(), strict=True)):
+                if s != state["src"]:
+                    close()
+                    state = {"src": s, "n": 0, "first": [], "taken": [], "at": np.zeros((m, flat.shape[1]))}
+                state["n"] += 1
+                t = len(state["taken"])
+                if t < m and (not t or (((state["at"][:t] - flat[k]) ** 2).sum(1) > d).all()):
+                    state["at"][t] = flat[k]
+                    state["taken"].append((d, x))
+                    if state["n"] < m:
+                        state["first"].append((d, x))
+                elif len(state["first"]) < m:
+                    state["first"].append((d, x))
+            if len(out) > 10_000:
+                yield batch(out)
+                out.clear()
+        close()
+        if out:
+            yield batch(out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["src", "dst", "pos", "dist"])
+
+    full = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), "dist").join(vectors.select(F.col("node_id").cast("long").alias("dst"), "embedding"), "dst")
+    full = full.select("src", "dst", "dist", "embedding").repartition("src").sortWithinPartitions("src", "dist", "dst")
+    return full.mapInArrow(run, "src long, dst long, pos int, dist double")
 
 
 def mutual(edges: DataFrame, vectors: DataFrame, m: int) -> DataFrame:
@@ -94,20 +124,20 @@ def reachable(edges: DataFrame, entry: int, checkpoint_every: int = 4) -> DataFr
     frontier, turn = seen, 0
     while True:
         turn += 1
-        new = frontier.join(edges.select(F.col("src").alias("node_id"), "dst"), "node_id").select(F.col("dst").alias("node_id")).distinct().join(seen, "node_id", "left_anti").checkpoint()
+        new = stored(frontier.join(edges.select(F.col("src").alias("node_id"), "dst"), "node_id").select(F.col("dst").alias("node_id")).distinct().join(seen, "node_id", "left_anti"))
         if new.isEmpty():
             return seen
         seen, frontier = seen.unionByName(new), new
         if turn % checkpoint_every == 0:
-            seen = seen.checkpoint()
+            seen = stored(seen)
 
 
 def navigating_graph(vectors: DataFrame, k: int, degree: int) -> tuple[DataFrame, int]:
     """An NSG-like graph and its entry: the kNN graph pruned for diversity, the medoid as navigating node, and what it doesn't reach
     tied to the nearest node that it does."""
-    near = knn_graph(vectors, k).checkpoint()
+    near = stored(knn_graph(vectors, k))
     entry = medoid(vectors).first().node_id
-    edges = select_diverse(near, vectors, degree).checkpoint()
+    edges = stored(select_diverse(near, vectors, degree))
     while True:
         seen = reachable(edges, entry)
         lost = vectors.join(seen, "node_id", "left_anti")
@@ -116,7 +146,7 @@ def navigating_graph(vectors: DataFrame, k: int, degree: int) -> tuple[DataFrame
         there = vectors.join(seen, "node_id", "left_semi")
         tie = knn(lost.select(F.col("node_id").alias("qid"), "embedding"), there, 1, exclude_self=False)
         made = tie.select(F.col("node_id").alias("src"), F.col("qid").alias("dst"), F.lit(-1).alias("pos"), "dist")
-        edges = edges.select("src", "dst", "pos", "dist").unionByName(made.withColumn("pos", F.col("pos").cast("int"))).checkpoint()
+        edges = stored(edges.select("src", "dst", "pos", "dist").unionByName(made.withColumn("pos", F.col("pos").cast("int"))))
 
 
 def levels(vectors: DataFrame, m: int) -> DataFrame:
@@ -127,7 +157,7 @@ def levels(vectors: DataFrame, m: int) -> DataFrame:
 def layered(vectors: DataFrame, m: int) -> tuple[DataFrame, int, int]:
     """Edges (level, src, dst, pos, dist) of every HNSW layer, the entry and the top level: each layer is the diverse mutual graph of the nodes
     that reach it, with 2m links at most on layer 0 and m above."""
-    own = levels(vectors, m).checkpoint()
+    own = stored(levels(vectors, m))
     top = own.agg(F.max("level")).first()[0]
     entry = own.where(F.col("level") == top).agg(F.min("node_id")).first()[0]
     layers = None
@@ -136,7 +166,7 @@ def layered(vectors: DataFrame, m: int) -> tuple[DataFrame, int, int]:
         cap = 2 * m if level == 0 else m
         one = mutual(select_diverse(knn_graph(here, 4 * m), here, m), here, cap).select(F.lit(level).alias("level"), "src", "dst", "pos", "dist")
         layers = one if layers is None else layers.unionByName(one)
-    return layers.checkpoint(), entry, top
+    return stored(layers), entry, top
 
 
 def shard(rows: DataFrame, n: int, column: str = "node_id", size: int | None = None) -> DataFrame:

@@ -58,18 +58,52 @@ def _fold(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "l2" else 1.0 - out
 
 
-def _nearest(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, node and exact distance of the k nearest of each query. Products of matrices preselect, with slack for their
+class Running:
+    """The k nearest rows of each query so far, by distance and id: what a task keeps of all its batches."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.rows = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.held = 0
+
+    def add(self, q: np.ndarray, node: np.ndarray, dist: np.ndarray) -> None:
+        """Rows of queries' positions, ids and distances; they are cut when there are as many new ones as kept."""
+        self.rows = tuple(np.concatenate(x) for x in zip(self.rows, (q, node, dist), strict=True))
+        if len(self.rows[0]) > 2 * self.held + (1 << 16):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, node, dist = self.rows
+        order = np.lexsort((node, dist, q))
+        q = q[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+        keep = order[np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < self.k]
+        self.rows = (self.rows[0][keep], node[keep], dist[keep])
+        self.held = len(keep)
+        return self.rows
+
+    def edges(self, n: int) -> np.ndarray:
+        """Of each of n queries the distance beyond which nothing new can count, as far as that is known from the last cut."""
+        q, _, dist = self.rows[0][: self.held], None, self.rows[2][: self.held]
+        worst = np.full(n, np.inf)
+        full = np.bincount(q, minlength=n) >= self.k
+        last = np.zeros(n)
+        np.maximum.at(last, q, dist)
+        worst[full] = last[full]
+        return worst
+
+
+def _nearest(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str, exclude_self: bool, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query's position, node and exact distance of the k nearest of each query that are within worst. Products of matrices preselect, with slack for their
     rounding; what is left is measured anew."""
     product = q @ v.T
     rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * product if metric == "l2" else 1.0 - product
     if exclude_self:
         rough[qids[:, None] == ids[None, :]] = np.inf
     take = min(k, rough.shape[1])
-    edge = np.partition(rough, take - 1, 1)[:, take - 1]
+    edge = np.minimum(np.partition(rough, take - 1, 1)[:, take - 1], worst)
     scale = np.abs(q).sum(1) * max(1.0, float(np.abs(v).max(initial=0))) + (q * q).sum(1) + float((v * v).sum(1).max(initial=0))
     a, b = np.nonzero((rough <= (edge + 1e-10 * (1 + scale))[:, None]) & np.isfinite(rough))
-    return qids[a], ids[b], _fold(q[a], v[b], metric)
+    return a, ids[b], _fold(q[a], v[b], metric)
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
@@ -97,19 +131,23 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude
 
 
 def _scan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, exclude_self: bool, dim: int) -> tuple[DataFrame, Broadcast]:
-    """k rows a query at most from each batch of vectors, for queries that fit a block; and the block."""
+    """k rows a query at most from each task, for queries that fit a block; and the block."""
     held = queries.toArrow()
     block = queries.sparkSession.sparkContext.broadcast((held.column("qid").to_numpy(), _matrix(held.column("embedding").combine_chunks(), dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = block.value
+        best = [Running(k) for _ in range(0, len(qids), 1024)]
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
                 v, ids = _matrix(part.column(1), q.shape[1]), part.column(0).to_numpy()
-                for s in range(0, len(qids), 1024):
-                    a, n, d = _nearest(q[s : s + 1024], qids[s : s + 1024], v, ids, k, metric, exclude_self)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(d)], ["qid", "node_id", "dist"])
+                for kept, s in zip(best, range(0, len(qids), 1024), strict=True):
+                    some = q[s : s + 1024]
+                    kept.add(*_nearest(some, qids[s : s + 1024], v, ids, k, metric, exclude_self, kept.edges(len(some))))
+        for kept, s in zip(best, range(0, len(qids), 1024), strict=True):
+            a, n, d = kept.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[s + a]), pa.array(n), pa.array(d)], ["qid", "node_id", "dist"])
 
     return vectors.mapInArrow(run, "qid long, node_id long, dist double"), block
 

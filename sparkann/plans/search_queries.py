@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions.hashing import hashed_level, murmur2, sql_murmur2
 from ..operators import evaluation, graph, knn, membership, superstep, traversal
-from ..session import scratch
+from ..session import scratch, stored
 from ..streaming import serving
 from . import traversal_sql as T
 from .registry import Q, V, asked, knn_sql, query, vectors
@@ -288,13 +288,13 @@ def g3_delayed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g3_superstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The superstep form, with a small queue: a round is some jobs."""
     v, e, entry = linked(spark, sf_dir)
-    return superstep.search(asked(spark, sf_dir), v, e.checkpoint(), entry, ef=8, cq=8, mc=8, mg=2)[0]
+    return superstep.search(asked(spark, sf_dir), v, stored(e), entry, ef=8, cq=8, mc=8, mg=2)[0]
 
 
 def intra_query(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Results, and what each of four channels scored."""
     v, e, entry = linked(spark, sf_dir)
-    results, _, scored = superstep.search(asked(spark, sf_dir), v, e.checkpoint(), entry, ef=12, cq=8, mc=8, mg=2, channels=4)
+    results, _, scored = superstep.search(asked(spark, sf_dir), v, stored(e), entry, ef=12, cq=8, mc=8, mg=2, channels=4)
     return results, scored
 
 

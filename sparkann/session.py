@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -53,12 +53,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where that is unset, one of our own."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors see. Where that is unset, one of our own on a single machine; RuntimeError
+    elsewhere, as a folder of one machine would lose what others write."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkann-")
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
@@ -70,3 +73,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return at
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
