@@ -3,48 +3,21 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch as scratch_path
+from ..session import stored
+
+__all__ = ["scratch_path", "stored", "lean", "sliced", "fresh", "crc_mod", "word_count", "components", "told"]
+
 #: What separates words in every contract of this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sparkann-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's JVM ends."""
-    at = f"{shared_dir(spark)}/sparkann/{uuid.uuid4().hex}/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    at = scratch_path(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a function of batches, after which a worker gives the memory that it no longer needs back to the system: workers outlive their tasks."""
