@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..operators import analytics as A
-from ..operators import evaluation, ivf, knn
+from ..operators import ivf
 from ..session import scratch
 from ..sources import binary, logs
 from .registry import Q, V, asked, query, vectors
@@ -32,12 +32,6 @@ def x16_assign_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign(vectors(spark, sf_dir), cells(spark, sf_dir)).groupBy("cell_id").agg(F.count("*").alias("n"))
 
 
-@query()
-def x16_kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return ivf.assign(v, ivf.kmeans_centroids(v, 8)).groupBy("cell_id").agg(F.count("*").alias("n"))
-
-
 _PROBED = f"t AS (SELECT qid, node_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) AS r FROM (SELECT q.qid, a.node_id, {D.sql_l2('q.embedding', 'a.embedding')} AS dist FROM p JOIN q ON q.qid = p.qid JOIN a ON a.cell_id = p.cell_id WHERE q.qid <> a.node_id))"
 
 
@@ -55,17 +49,6 @@ def v8_cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.coarse(asked(spark, sf_dir), c, 3).join(n, "cell_id").groupBy("qid").agg(F.sum("n").alias("entries"), F.sum(F.ceil(F.col("n") / 8.0)).alias("iterations"))
 
 
-@query()
-def v4_nprobe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 10 of nprobe 1, 2, 4, 8."""
-    c, q, v = cells(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir)
-    assigned, truth, out = ivf.assign(v, c), knn.knn(q, v, 10), None
-    for n in (1, 2, 4, 8):
-        one = evaluation.recall_at(ivf.search(q, assigned, c, n, 10), truth, [10]).select(F.lit(n).alias("nprobe"), "recall")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 _SUB = "SELECT {key}, unnest(range(0, 8)) AS part, unnest(list_transform(range(0, 8), lambda i: list_slice({col}, i * 8 + 1, i * 8 + 8))) AS sub FROM {rows}"
 _BOOK = "w AS (SELECT node_id AS code, part, sub AS word FROM (" + _SUB.format(key="node_id", col="embedding", rows="v") + ") WHERE node_id < 16)"
 _CODES = "s AS (" + _SUB.format(key="node_id", col="embedding", rows="v") + f"), k AS (SELECT node_id, part, code FROM (SELECT s.node_id, s.part, w.code, row_number() OVER (PARTITION BY s.node_id, s.part ORDER BY {D.sql_l2('s.sub', 'w.word')}, w.code) AS r FROM s JOIN w USING (part)) WHERE r = 1)"
@@ -102,12 +85,6 @@ def v13_truncated_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.adc_search(asked(spark, sf_dir), ivf.encode(v, b, 8, 64), b, 8, 64, 20, lanes=8, lane_k=5)
 
 
-@query()
-def v3_residual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, v = cells(spark, sf_dir), vectors(spark, sf_dir)
-    return ivf.ivfpq_search(asked(spark, sf_dir), ivf.assign(v, c), c, book(spark, sf_dir), 8, 64, 3, 10)
-
-
 RUNS = "e AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {t}::DOUBLE, {r1}::DOUBLE, {r10}::DOUBLE, {h}::DOUBLE, {v}::DOUBLE)" for a, b, t, r1, r10, h, v in A.RECORDED) + ") x(mc, mg, time_ms, recall_1, recall_10, avg_hops, avg_visited))"
 
 

@@ -43,7 +43,7 @@ def test_bloom_against_a_loop(spark):
 def test_inverted_file_with_all_cells_is_exact(spark):
     rng = np.random.default_rng(8)
     v = table(spark, rng.normal(size=(80, 8)))
-    cells = ivf.kmeans_centroids(v, 5)
+    cells = ivf.lloyd(v, 5)
     q = v.where("node_id < 4").select(F.col("node_id").alias("qid"), "embedding")
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assigned = ivf.assign(v, cells)
