@@ -53,14 +53,20 @@ def lloyd(vectors: DataFrame, cells: int, rounds: int = 3, digits: int = 6) -> D
     return stored(found, "centroids")
 
 
-def trained_codebook(vectors: DataFrame, m: int, dim: int, codes: int, rounds: int = 3) -> DataFrame:
-    """part, code, word: k-means of every part's slices by itself."""
-    width, out = dim // m, None
-    for part in range(m):
-        own = vectors.select("node_id", F.slice("embedding", part * width + 1, width).alias("embedding"))
-        one = lloyd(own, codes, rounds).select(F.lit(part).alias("part"), F.col("cell_id").alias("code"), F.col("centroid").alias("word"))
-        out = one if out is None else out.unionByName(one)
-    return stored(out, "codebook")
+def trained_codebook(vectors: DataFrame, m: int, dim: int, codes: int, rounds: int = 3, digits: int = 6) -> DataFrame:
+    """part, code, word: k-means of every part's slices, all parts in one pass a round; seeds, means and empty words are as in lloyd()."""
+    sample = stored(sampled(vectors.select("node_id", "embedding")), "sample")
+    parts = sub_vectors(sample, "node_id", "embedding", m, dim)
+    found = sampled_codebook(sample, m, dim, codes).select("part", "code", F.col("word").cast("array<double>").alias("word"))
+    for _ in range(rounds):
+        found = stored(found, "words")
+        words = found.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("code", "word"))).alias("words"))
+        near = F.array_min(F.transform("words", lambda w: F.struct(squared_l2(F.col("sub"), w["word"]).alias("d"), w["code"].alias("code"))))["code"]
+        rows = parts.join(F.broadcast(words), "part").select("part", near.alias("code"), F.posexplode("sub").alias("pos", "x"))
+        sums = rows.groupBy("part", "code", "pos").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("m"))
+        moved = sums.groupBy("part", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("moved"))
+        found = found.join(moved, ["part", "code"], "left").select("part", "code", F.coalesce("moved", "word").alias("word"))
+    return stored(found, "codebook")
 
 
 def rotation(vectors: DataFrame, m: int, dim: int, codes: int = 16, rounds: int = 8, rows: int = 10_000) -> np.ndarray:
@@ -237,7 +243,7 @@ def _scanned(codes: DataFrame, tables: DataFrame, k: int, lanes: int | None, lan
     cell_id stands for all. Tables are told to the tasks in blocks of TABLE_BYTES, a scan of the codes for each."""
     spark = codes.sparkSession
     n, size = tables.agg(F.count("*"), F.max(F.size("luts") * F.size(F.col("luts")[0]))).first()
-    blocks = max(1, -(-n * (size or 0) * 8 // TABLE_BYTES))
+    blocks = max(1, min(n, -(-n * (size or 0) * 8 // TABLE_BYTES)))
     kind, out = "qid long, node_id long, dist double", []
     for block in range(blocks):
         some = tables.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("cell_id", "qid").toArrow()

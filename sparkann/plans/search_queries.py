@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -476,7 +474,34 @@ def t1_micro_batch_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id AS qid, embedding[1] AS first, embedding[64] AS last FROM embeddings WHERE vec_id % 50 = 0")
 def t2_decode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries as hex messages of little-endian floats; a negative id ends the stream."""
-    hexed = F.udf(lambda v: struct.pack(f"<{len(v)}f", *v).hex().upper())
-    sent = asked(spark, sf_dir).select("qid", hexed("embedding").alias("payload"))
+    sent = serving.encode_queries(asked(spark, sf_dir)).select("qid", F.substr(F.hex("payload"), F.lit(2 * serving.PACKET + 1)).alias("payload"))
     ended = sent.unionByName(spark.createDataFrame([(-1, "")], "qid long, payload string"))
     return serving.decode(ended).select("qid", F.col("embedding")[0].alias("first"), F.col("embedding")[63].alias("last"))
+
+
+@query("SELECT vec_id AS qid, CAST(pos AS INTEGER) AS pos, embedding[pos + 1] AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS pos) WHERE vec_id % 50 = 0")
+def s16_sent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries sent as packets and decoded; a batch of -1 at the end."""
+    sent = serving.encode_queries(asked(spark, sf_dir))
+    end = spark.createDataFrame([(-1, bytearray(b"\xff" * serving.PACKET))], "qid long, payload binary")
+    return serving.decode_queries(sent.unionByName(end), 64).select("qid", F.posexplode("embedding").alias("pos", "x"))
+
+
+@query(f"SELECT qid, rank, node_id, CAST(dist AS FLOAT) AS dist FROM ({knn_sql(L2, 10)})")
+def s17_received_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A server between packets; its answers of 16 places hold 10 results."""
+    v = vectors(spark, sf_dir)
+    return serving.decode_results(serving.peer(serving.encode_queries(asked(spark, sf_dir)), 64, lambda q: knn.knn(q, v, 10), 16))
+
+
+@query(f"SELECT qid, list(node_id ORDER BY rank) || [-1, -1] AS ids, list(dist ORDER BY rank) || [1e20::DOUBLE, 1e20::DOUBLE] AS dists FROM ({knn_sql(L2, 10)}) GROUP BY qid")
+def s15_padded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as the arrays of 12 places that a result table holds."""
+    return serving.padded(knn.knn(asked(spark, sf_dir), vectors(spark, sf_dir), 10), 12)
+
+
+@query("SELECT vec_id AS qid, CAST(i + 1 AS INTEGER) AS rank, i AS node_id, CAST(i AS FLOAT) AS dist FROM embeddings, (SELECT unnest(range(0, 20)) AS i) WHERE vec_id % 50 = 0")
+def t3_simulated_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A peer that answers without searching, over the same packets."""
+    sent = serving.encode_queries(asked(spark, sf_dir))
+    return serving.decode_results(serving.peer(sent, 64, lambda q: serving.simulated(q, 20), 20))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,81 @@ def _float_of_hex(h):
     fraction = bits.bitwiseAND(F.lit((1 << 23) - 1).cast("long")) / F.lit(float(1 << 23))
     value = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-126.0))).otherwise((F.lit(1.0) + fraction) * F.pow(F.lit(2.0), exponent - 127))
     return (sign * value).cast("float")
+
+
+#: Bytes of a packet; headers and arrays are padded to whole ones.
+PACKET = 64
+#: What fills a result list up to its length.
+NO_ID, NO_DIST = -1, 1e20
+
+
+def _packets(values: list | np.ndarray, kind: str) -> bytes:
+    data = np.asarray(values, kind).tobytes()
+    return data + bytes(-len(data) % PACKET)
+
+
+def encode_queries(queries: DataFrame) -> DataFrame:
+    """qid, payload (binary): a packet with the batch's size, 1, then the query's floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packets([1], "<i4") + _packets(v, "<f4") for v in b.column(1).to_pylist()], pa.binary())], ["qid", "payload"])
+
+    return queries.select(F.col("qid").cast("long"), "embedding").mapInArrow(run, "qid long, payload binary")
+
+
+def decode_queries(messages: DataFrame, dim: int) -> DataFrame:
+    """qid, embedding of messages; a batch size of -1 or 0 ends the stream, and such messages are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(q, np.frombuffer(p, "<f4", dim, PACKET)) for q, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if np.frombuffer(p, "<i4", 1)[0] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["qid", "embedding"])
+
+    return messages.select("qid", "payload").mapInArrow(run, "qid long, embedding array<float>")
+
+
+def padded(results: DataFrame, ef: int) -> DataFrame:
+    """qid, ids, dists: each query's results (qid, rank, node_id, dist) as arrays of ef, filled up with NO_ID and NO_DIST."""
+    own = results.where(F.col("rank") <= ef).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "dist"))).alias("r"))
+    at = F.sequence(F.lit(0), F.lit(ef - 1))
+    return own.select("qid", F.transform(at, lambda i: F.coalesce(F.get("r", i)["node_id"], F.lit(NO_ID).cast("long"))).alias("ids"), F.transform(at, lambda i: F.coalesce(F.get("r", i)["dist"], F.lit(NO_DIST))).alias("dists"))
+
+
+def encode_results(results: DataFrame, ef: int) -> DataFrame:
+    """qid, payload (binary): a packet with ef, the ids as 4-byte numbers, and the distances as floats, each filled up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packets([ef], "<i4") + _packets(i, "<i4") + _packets(d, "<f4") for i, d in rows], pa.binary())], ["qid", "payload"])
+
+    return padded(results, ef).mapInArrow(run, "qid long, payload binary")
+
+
+def decode_results(messages: DataFrame) -> DataFrame:
+    """qid, rank, node_id, dist (float) of answers, without what only fills them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for q, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ef = int(np.frombuffer(p, "<i4", 1)[0])
+                ids = np.frombuffer(p, "<i4", ef, PACKET).tolist()
+                dists = np.frombuffer(p, "<f4", ef, PACKET + -(-4 * ef // PACKET) * PACKET).tolist()
+                rows += [(q, k + 1, i, d) for k, (i, d) in enumerate(zip(ids, dists, strict=True)) if i != NO_ID]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.float32()), strict=True)], ["qid", "rank", "node_id", "dist"])
+
+    return messages.select("qid", "payload").mapInArrow(run, "qid long, rank int, node_id long, dist float")
+
+
+def peer(messages: DataFrame, dim: int, search: Callable[[DataFrame], DataFrame], ef: int) -> DataFrame:
+    """A server between messages: queries in, answers out."""
+    return encode_results(search(decode_queries(messages, dim)), ef)
+
+
+def simulated(queries: DataFrame, ef: int) -> DataFrame:
+    """Answers of a peer that doesn't search: ids 0 to ef - 1 at distances of the same size."""
+    each = queries.select(F.col("qid").cast("long"), F.explode(F.sequence(F.lit(0), F.lit(ef - 1))).alias("i"))
+    return each.select("qid", (F.col("i") + 1).alias("rank"), F.col("i").cast("long").alias("node_id"), F.col("i").cast("double").alias("dist"))
