@@ -94,6 +94,24 @@ def test_combinations_fill_and_nnls_solves():
     assert (x >= 0).all() and np.allclose(back[1:], counts[1:], atol=1e-3)
 
 
+def test_nnls_is_as_near_as_a_projected_solver():
+    r = np.random.default_rng(7)
+    c = K.combinations(16)
+    a = np.zeros((17, len(c)))
+    for j, row in enumerate(c):
+        for x in row[row > 0]:
+            a[x, j] += 1
+    for _ in range(5):
+        counts = r.integers(0, 60, 17)
+        target = np.r_[0, counts[1:]].astype(float)
+        plain, step = np.zeros(len(c)), 1 / np.linalg.norm(a, 2) ** 2
+        for _ in range(20_000):
+            plain = np.maximum(0, plain - step * (a.T @ (a @ plain - target)))
+        got = K.nnls(c, counts, 1e-9)
+        assert (got >= 0).all() and ((a @ got - target) ** 2).sum() <= ((a @ plain - target) ** 2).sum() + 1e-3
+        assert (got > 0).sum() <= 20
+
+
 PROSE = "One plain sentence says that all of this text is clean, and another follows it with different words so nothing repeats within."
 CASES = {
     1: None,
