@@ -82,8 +82,7 @@ def nnls(combos: np.ndarray, counts: np.ndarray, tolerance: float = 1.0) -> np.n
     """Repeat counts x >= 0 of combos that minimise the squares of A x - counts, where A counts classes in combos.
 
     Lawson and Hanson's active sets, on normal equations, until no combination would explain more than tolerance further pieces;
-    counts[0] is not used. The result has hardly more values above zero than
-    there are classes, so that rounding loses little.
+    counts[0] is not used. Few of the combinations get values above zero, so that rounding loses little.
     """
     n, target = len(counts), counts.astype(float)
     target[0] = 0
