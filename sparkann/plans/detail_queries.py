@@ -11,7 +11,7 @@ from ..operators import evaluation, graph, ivf, knn, traversal
 from . import traversal_sql as T
 from .analysis_queries import _ASSIGN, _MEAN, cells
 from .registry import Q, V, asked, knn_sql, query, vectors
-from .search_queries import _TRUTH, KNN16, L2, halved, near16
+from .search_queries import _TRUTH, KNN16, L2, halved, layered, near16
 
 LEVEL = f"CAST(floor(-ln((CAST({sql_murmur2('node_id', 1)} AS DOUBLE) + 1.0) / 4294967296.0) / ln(16)) AS INTEGER)"
 
@@ -117,7 +117,7 @@ def g5_split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g11_upper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in the upper layers, by a join on level and source, with their distances."""
     v = vectors(spark, sf_dir)
-    up = graph.layered(v, 8)[0].where("level > 0").select("level", "src", "dst")
+    up = layered(spark, sf_dir)[0].where("level > 0").select("level", "src", "dst")
     at = graph.levels(v, 8).where("level > 0").select(F.col("node_id").alias("src"), F.explode(F.sequence(F.lit(1), "level")).alias("level"))
     here, there = v.select(F.col("node_id").alias("src"), F.col("embedding").alias("x")), v.select(F.col("node_id").alias("dst"), F.col("embedding").alias("y"))
     return at.join(up, ["level", "src"]).join(here, "src").join(there, "dst").select("level", "src", "dst", D.squared_l2(F.col("x"), F.col("y")).alias("dist"))
@@ -127,7 +127,7 @@ def g11_upper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g10_greedy_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the descent through the upper layers ends for each query."""
     v = vectors(spark, sf_dir)
-    layers, entry, top = graph.layered(v, 8)
+    layers, entry, top = layered(spark, sf_dir)
     held = spark.sparkContext.broadcast({lv: traversal.load(v, layers.where(F.col("level") == lv)) for lv in range(1, top + 1)})
 
     def one(q):

@@ -30,6 +30,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once an application for each sf_dir: indexes that several queries search. Their tables are in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, embedding, label of embeddings."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("node_id"), "embedding", "label")
