@@ -163,3 +163,19 @@ def test_files_are_read_by_ranges(spark, tmp_path, kind):
     bad.write_bytes(b"\\x03\\0\\0\\0\\x03\\0\\0\\0x")
     with pytest.raises(Exception, match="fit"):
         binary.read_vectors(spark, str(bad), kind, dim=3).collect()
+
+
+def test_work_rises_with_what_is_in_flight(spark):
+    """Hops and visited nodes grow with mc and mg, and recall doesn't fall, as the recorded runs have it."""
+    v = table(spark, np.random.default_rng(12).normal(size=(600, 12))).checkpoint()
+    e = graph.with_reverse(graph.knn_graph(v, 8), 16).checkpoint()
+    q = v.where("node_id % 10 = 0").select(F.col("node_id").alias("qid"), "embedding")
+    cases = [(24, 32, mc, mg) for mc in (1, 2, 4) for mg in (1, 2, 4)]
+    got = {(r.mc, r.mg): r for r in traversal.sweep(q, v, e, graph.medoid(v).first().node_id, cases, knn.knn(q, v, 10, exclude_self=False)).collect()}
+    assert len(got) == 9
+    for mc in (1, 2, 4):
+        for a, b in ((1, 2), (2, 4)):
+            assert got[mc, a].avg_hops < got[mc, b].avg_hops and got[mc, a].avg_visited < got[mc, b].avg_visited
+            assert got[a, mc].avg_hops < got[b, mc].avg_hops and got[mc, b].recall_10 >= got[mc, a].recall_10 - 0.01
+    plain = traversal.search(q, v, e, graph.medoid(v).first().node_id, 24, 32, 2, 4, "stats").agg(F.avg("hops"), F.avg("visited")).first()
+    assert (got[2, 4].avg_hops, got[2, 4].avg_visited) == tuple(plain)
