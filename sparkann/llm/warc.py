@@ -87,8 +87,8 @@ def write_archive(records: DataFrame, path: str) -> None:
     _write(records.select("headers", "block").mapInArrow(lambda batches: _files(members(batches)), "content binary"), path)
 
 
-def _unpacked(content: memoryview) -> Iterator[tuple[int, bytes]]:
-    """Offset of a member, and some of its bytes unpacked, in order; ValueError for a member that is broken or cut short."""
+def _unpacked(content: memoryview) -> Iterator[tuple[int, bytes, int | None]]:
+    """Offset of a member, some of its bytes unpacked, in order, and with the last ones where it ends; ValueError for a member that is broken or cut short."""
     at = 0
     while at < len(content):
         begun, d = at, zlib.decompressobj(31)
@@ -101,8 +101,28 @@ def _unpacked(content: memoryview) -> Iterator[tuple[int, bytes]]:
             except zlib.error as e:
                 raise ValueError(f"no gzip member at byte {begun}: {e}") from None
             at += len(piece) - len(d.unused_data)
-            if out:
-                yield begun, out
+            if out or d.eof:
+                yield begun, out, at if d.eof else None
+
+
+def _whole(content: bytes) -> Iterator[tuple[bytes | None, list[tuple[str, str]], bytes]]:
+    """The records of a file as parse() has them, each with the gzip member that it fills alone, if there is one."""
+    if content[:2] != b"\x1f\x8b":
+        yield from ((None, h, b) for _, h, b in parse(content))
+        return
+    view, parts, begun = memoryview(content), [], 0
+    for at, out, end in _unpacked(view):
+        parts.append(out)
+        if end is None:
+            continue
+        try:
+            found = list(parse(b"".join(parts)))
+        except ValueError:  # a record goes on in the next member
+            yield from ((None, h, b) for _, h, b in parse(content[begun:]))
+            return
+        for _, headers, block in found:
+            yield bytes(view[at:end]) if len(found) == 1 else None, headers, block
+        parts, begun = [], end
 
 
 def parse(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
@@ -120,9 +140,10 @@ def parse(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
         parts, size = [held[pos:]], len(held) - pos
         start, pos = start + pos, 0
         while size < n and (more := next(source, None)):
-            marks.append((start + size, more[0]))
-            parts.append(more[1])
-            size += len(more[1])
+            if more[1]:
+                marks.append((start + size, more[0]))
+                parts.append(more[1])
+                size += len(more[1])
         held = b"".join(parts)
         return size >= n
 
@@ -247,7 +268,8 @@ def _literal(path: str) -> str:
 def deduplicate_archive(spark: SparkSession, source: str, target: str, revisits: DataFrame, date: str | None = None) -> None:
     """Writes the records of source to target; those that revisits (file, record, to) names get the headers of a revisit of the record in to.
 
-    HTTP headers, unknown fields, ids and dates stay as they are; a missing id or date is added. Other records are written whole. Revisits are
+    HTTP headers, unknown fields, ids and dates stay as they are; a missing id or date is added. Other records are written whole, and as the member that they
+    are if they lack nothing. Revisits are
     aggregated to a row for each file, which is told to the task that reads the file. The files are cut into blocks of MAX_BROADCAST_REVISITS or of one file,
     a job each; a file's name and count reach the driver, as they do for any scan.
     """
@@ -280,8 +302,11 @@ def _rewrite(spark: SparkSession, sources: list[str], target: str, revisits: Dat
             for path, content, named in zip(*b.columns, strict=True):
                 file = path.as_py()
                 to = {x["record"]: x["to"] for x in named.as_py() or []}
-                for k, (_, headers, block) in enumerate(parse(content.as_py())):
-                    yield member(*_fresh(headers, block, to.get(k), _own_id(_name(file), k), now))
+                for k, (packed, headers, block) in enumerate(_whole(content.as_py())):
+                    if packed and k not in to and {"warc-record-id", "warc-date"} <= {n.lower() for n, _ in headers}:
+                        yield packed
+                    else:
+                        yield member(*_fresh(headers, block, to.get(k), _own_id(_name(file), k), now))
 
     few = revisits.groupBy("file").agg(F.collect_list(F.struct("record", "to")).alias("named"))
     files = spark.read.format("binaryFile").load(sources).select("path", "content")

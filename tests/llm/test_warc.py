@@ -119,6 +119,24 @@ def test_an_archive_from_elsewhere_keeps_what_it_says(spark):
         assert out[3][1] == b"GET / HTTP/1.1\r\n\r\n" and out[3][0]["WARC-Record-ID"].startswith("<urn:uuid:") and out[3][0]["WARC-Date"]
 
 
+def test_records_that_stay_are_the_same_members(spark):
+    at = scratch_path(spark, "w")
+    warc.archive_round_trip(frame(spark).coalesce(1), at).count()
+    members = lambda p: {h[1][1]: raw for c in files(spark, f"{at}/{p}") if c for raw, h, _ in warc._whole(c)}
+    raw, slim = members("raw"), members("deduplicated")
+    assert len(raw) == len(slim) == len(ROWS) and sum(raw[k] == slim.get(k) for k in raw) == len(ROWS) - 5
+
+
+def test_members_and_records_that_do_not_fit():
+    one, two = warc.member([("A", "b")], b"x" * 70_000), warc.member([("C", "d")], b"")
+    plain = [gzip.decompress(x) for x in (one, two)]
+    assert [r for r, _, _ in warc._whole(one + two + warc._END)] == [one, two]
+    assert [(r, b) for r, _, b in warc._whole(gzip.compress(plain[0] + plain[1]))] == [(None, b"x" * 70_000), (None, b"")]
+    cut = one + gzip.compress(plain[1][:9]) + gzip.compress(plain[1][9:] + plain[0])
+    assert [(r, b) for r, _, b in warc._whole(cut)] == [(one, b"x" * 70_000), (None, b""), (None, b"x" * 70_000)]
+    assert [r for r, _, _ in warc._whole(plain[1] * 2)] == [None, None]
+
+
 def test_archive_of_an_archive_keeps_revisits(spark):
     at = scratch_path(spark, "w")
     warc.archive_round_trip(frame(spark), at).count()
