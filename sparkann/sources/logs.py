@@ -29,10 +29,12 @@ def turbostat_watts(lines: DataFrame, columns: tuple[int, ...] = (-4, -3)) -> Da
 
 
 def gpu_watts(lines: DataFrame, match: str) -> DataFrame:
-    """file, watts: the mean of the first "NW /" on the line after each line with match."""
-    before = F.lag("value").over(Window.partitionBy("file").orderBy("line_no"))
-    rows = lines.withColumn("before", before).where(F.contains("before", F.lit(match)))
-    return rows.groupBy("file").agg(F.avg(F.regexp_extract("value", "([0-9]+)W /", 1).cast("double")).alias("watts"))
+    """file, watts: the mean of the first "NW /" on the line after each device line, which has match and no reading of its own ("3090W /" is not a
+    device); lines without a reading don't count."""
+    reading = F.nullif(F.regexp_extract("value", "([0-9]+)W /", 1), F.lit(""))
+    device = F.contains("value", F.lit(match)) & reading.isNull()
+    rows = lines.withColumn("after", F.lag(device).over(Window.partitionBy("file").orderBy("line_no"))).where("after")
+    return rows.groupBy("file").agg(F.avg(reading.cast("double")).alias("watts"))
 
 
 def latency_json(lines: DataFrame) -> DataFrame:

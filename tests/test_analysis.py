@@ -75,3 +75,12 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_segments(spark):
     flat = spark.createDataFrame([("f", i, v) for i, v in enumerate([-1, 5, 6, -2, -1, 7, -2])], "file string, pos int, v int")
     assert sorted((r.qid, r.v) for r in evaluation.segments(flat).collect()) == [(0, 5), (0, 6), (1, 7)]
+
+
+def test_power_readings_that_hold_the_device_name(spark):
+    """A reading of 3090 W is no line of a 3090; a device line may be followed by one without a reading."""
+    from sparkann.sources import logs
+
+    text = ["| 0 GeForce RTX 3090 Off |", "| 30% 40C P2 200W / 350W |", "| 30% 40C P2 3090W / 350W |", "| 30% 40C P2 5W / 350W |", "| 30% 40C P2 13090W / 350W |", "| 0 GeForce RTX 3090 Off |", "| 0 GeForce RTX 3090 Off |", "| 30% 40C P2 100W / 350W |"]
+    rows = spark.createDataFrame([("g", i, t) for i, t in enumerate(text)], "file string, line_no long, value string")
+    assert [(r.file, r.watts) for r in logs.gpu_watts(rows, "3090").collect()] == [("g", 150.0)]
