@@ -24,34 +24,48 @@ MAX_SHARD_ROWS = 1_000_000
 
 
 class Layers:
-    """A layered graph that grows: links[level][node] are a node's neighbours there, as positions."""
+    """A layered graph that grows: links[level][node] are a node's neighbours there, as positions; into[level][node] is how many have it as a neighbour.
+    Pruning never takes a node's last link, so that no node is lost."""
 
     def __init__(self, dim: int, m: int, ef: int) -> None:
         self.m, self.ef = m, ef
         self.vectors, self.links, self.entry, self.top = np.zeros((0, dim)), [], -1, -1
+        self.into: list[dict[int, int]] = []
         self.count = 0
 
     def _far(self, nodes: list[int], q: np.ndarray) -> np.ndarray:
-        return np.cumsum((self.vectors[nodes] - q) ** 2, 1)[:, -1]
+        d = self.vectors.take(nodes, 0)
+        d -= q
+        d *= d
+        return np.add.accumulate(d, 1, out=d)[:, -1]
 
     def _search(self, q: np.ndarray, start: list[tuple[float, int]], level: int) -> list[tuple[float, int]]:
         """The ef nearest of a layer, from start, as a build finds them: sorted (distance, node)."""
-        links, seen = self.links[level], {x for _, x in start}
+        links, seen, ef, far = self.links[level], {x for _, x in start}, self.ef, self._far
         todo, best = list(start), [(-d, -x) for d, x in start]
         heapq.heapify(todo)
         heapq.heapify(best)
+        push, replace, full = heapq.heappush, heapq.heapreplace, len(best) >= ef
+        worst = -best[0][0] if full else np.inf
         while todo:
             d, c = heapq.heappop(todo)
-            if len(best) >= self.ef and d > -best[0][0]:
+            if d > worst:
                 break
             new = [x for x in links[c] if x not in seen]
+            if not new:
+                continue
             seen.update(new)
-            for x, dist in zip(new, self._far(new, q).tolist() if new else (), strict=True):
-                if len(best) < self.ef or dist < -best[0][0]:
-                    heapq.heappush(todo, (dist, x))
-                    heapq.heappush(best, (-dist, -x))
-                    if len(best) > self.ef:
-                        heapq.heappop(best)
+            for x, dist in zip(new, far(new, q).tolist(), strict=True):
+                if not full:
+                    push(todo, (dist, x))
+                    push(best, (-dist, -x))
+                    full = len(best) >= ef
+                elif dist < worst:
+                    push(todo, (dist, x))
+                    replace(best, (-dist, -x))
+                else:
+                    continue
+                worst = -best[0][0] if full else np.inf
         return sorted((-d, -x) for d, x in best)
 
     def _diverse(self, near: list[tuple[float, int]], most: int) -> list[int]:
@@ -59,13 +73,58 @@ class Layers:
         if len(near) < most:
             return [x for _, x in near]
         taken: list[int] = []
-        for d, x in near:
-            if len(taken) == most:
-                break
-            if not taken or (self._far(taken, self.vectors[x]) > d).all():
-                taken.append(x)
+        left, d = np.array([x for _, x in near]), np.array([d for d, _ in near])
+        while len(left) and len(taken) < most:
+            x, left, d = int(left[0]), left[1:], d[1:]
+            taken.append(x)
+            if len(left) and len(taken) < most:
+                open_ = self._far(left, self.vectors[x]) > d
+                left, d = left[open_], d[open_]
         return taken
 
+    def _prune(self, x: int, level: int, bound: int) -> None:
+        """Leaves bound of x's bound + 1 neighbours at most: the diverse ones, and those that nothing else links to in place of the farthest that others link to."""
+        links, into = self.links[level], self.into[level]
+        near = sorted(zip(self._far(links[x], self.vectors[x]).tolist(), links[x], strict=True))
+        kept = self._diverse(near, bound)
+        gone = [y for y in links[x] if y not in kept]
+        last = [y for y in gone if into[y] == 1]
+        for y in gone:
+            into[y] -= 1
+        homeless = []
+        for y in last:
+            if len(kept) == bound:
+                other = next((z for z in reversed(kept) if into[z] > 1), None)
+                if other is None:
+                    homeless.append(y)
+                    continue
+                kept.remove(other)
+                into[other] -= 1
+            kept.append(y)
+            into[y] += 1
+        if last:
+            at = {y: k for k, (_, y) in enumerate(near)}
+            kept.sort(key=at.__getitem__)
+        links[x] = kept
+        for y in homeless:
+            self._take_in(y, x, level, bound)
+
+    def _take_in(self, y: int, start: int, level: int, bound: int) -> None:
+        """Links to y from the first node in breadth from start that has room or a neighbour to which others link. There is one: were all lists full of
+        nodes with one link each, there would be more links than nodes."""
+        links, into = self.links[level], self.into[level]
+        walk = [start]
+        for x in walk:
+            other = next((z for z in reversed(links[x]) if into[z] > 1), None)
+            if x != y and (len(links[x]) < bound or other is not None):
+                if len(links[x]) >= bound:
+                    links[x].remove(other)
+                    into[other] -= 1
+                links[x].append(y)
+                into[y] += 1
+                return
+            walk += [z for z in links[x] if z not in walk]
+
     def insert(self, vector: np.ndarray, level: int) -> None:
         node = self.count
         if node == len(self.vectors):
@@ -74,8 +133,10 @@ class Layers:
         self.count += 1
         while len(self.links) <= level:
             self.links.append({})
+            self.into.append({})
         for lv in range(level + 1):
             self.links[lv][node] = []
+            self.into[lv][node] = 0
         if self.entry < 0:
             self.entry, self.top = node, level
             return
@@ -93,12 +154,13 @@ class Layers:
             bound = self.m if lv else 2 * self.m
             chosen = self._diverse(start, self.m)
             self.links[lv][node] = list(chosen)
+            self.into[lv][node] = len(chosen)
             for x in chosen:
+                self.into[lv][x] += 1
                 back = self.links[lv][x]
                 back.append(node)
                 if len(back) > bound:
-                    d = self._far(back, self.vectors[x])
-                    self.links[lv][x] = self._diverse(sorted(zip(d.tolist(), back, strict=True)), bound)
+                    self._prune(x, lv, bound)
         if level > self.top:
             self.entry, self.top = node, level
 

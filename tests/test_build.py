@@ -179,3 +179,60 @@ def test_work_rises_with_what_is_in_flight(spark):
             assert got[a, mc].avg_hops < got[b, mc].avg_hops and got[mc, b].recall_10 >= got[mc, a].recall_10 - 0.01
     plain = traversal.search(q, v, e, graph.medoid(v).first().node_id, 24, 32, 2, 4, "stats").agg(F.avg("hops"), F.avg("visited")).first()
     assert (got[2, 4].avg_hops, got[2, 4].avg_visited) == tuple(plain)
+
+
+def test_points_are_inserted_once(spark, tmp_path, monkeypatch):
+    """The query reads its links many times; the vectors of a search are gathered once for all levels."""
+    from sparkann.plans import file_queries
+    from sparkann.session import ship
+
+    ship(spark)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(12).normal(size=(300, 8)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    runs, inserted = spark.sparkContext.accumulator(0), build.inserted
+
+    def counted(*a, **b):
+        def seen(batches):
+            runs.add(1)
+            yield from batches
+
+        made = inserted(*a, **b)
+        return made.mapInArrow(seen, made.schema)
+
+    monkeypatch.setattr(build, "inserted", counted)
+    got = file_queries.x4_inserted_points(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(300, 0, 0, 0, True, True)] and runs.value == 1
+
+
+def test_levels_share_their_vectors(spark):
+    v = table(spark, np.eye(5))
+    edges = spark.createDataFrame([(0, 1, 2, 0), (0, 1, 9, 1), (2, 4, 0, 0), (2, 4, 3, 1)], "level int, src long, dst long, pos int")
+    got = traversal.load_layers(v, edges, 2)
+    assert [got[0].of(1).tolist(), got[2].of(4).tolist(), got[1].links.tolist()] == [[2], [0, 3], []] and got[0].vectors is got[2].vectors
+    alone = traversal.load(v, edges.where("level = 2"))
+    assert alone.of(4).tolist() == [0, 3] and alone.starts.tolist() == got[2].starts.tolist()
+
+
+def test_insertion_loses_no_node():
+    """Each node has a link to it, as counted, and degrees hold; a node in a hub's shadow keeps its last link."""
+    r = np.random.default_rng(3)
+    for x in (r.normal(size=(1500, 32)), np.r_[np.zeros((1, 8)), r.normal(size=(300, 8)), np.zeros((40, 8))]):
+        made = build.Layers(x.shape[1], 4, 16)
+        for k, v in enumerate(x):
+            made.insert(v, int(k % 9 == 0))
+        for lv, links in enumerate(made.links):
+            into = dict.fromkeys(links, 0)
+            for node, near in links.items():
+                assert len(near) <= (4 if lv else 8) and len({*near}) == len(near) and node not in near
+                for y in near:
+                    into[y] += 1
+            assert into == made.into[lv] and min(into.values()) > 0
+
+
+def test_a_node_without_place_is_taken_in():
+    made = build.Layers(1, 1, 4)
+    made.vectors = np.arange(6.0)[:, None]
+    made.links, made.into = [{0: [1, 2, 3], 1: [4, 5], 2: [0, 5], 3: [0], 4: [0], 5: [0]}], [{0: 4, 1: 1, 2: 1, 3: 1, 4: 1, 5: 2}]
+    made._prune(0, 0, 2)
+    assert len(made.links[0][0]) == 2 and min(sum(y in n for n in made.links[0].values()) for y in range(6)) == 1
+    assert {y: sum(y in n for n in made.links[0].values()) for y in range(6)} == made.into[0]
