@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from sparkann.llm import near_copies as N
 
@@ -68,3 +70,48 @@ def test_one_of_each_stays_and_rows_without_id(spark):
     assert got.columns == df.columns
     kept = sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr)
     assert kept[:2] == [(2, "a b c d"), (9, "other words are here")] and {k for k in kept[2:]} == {(None, "")}
+
+
+def sets_at_the_limit(r):
+    """Two sets of similarity 0.8 or a little more, of 1 to 600 shingles, some of whose hashes are in clumps, so that many segments are empty."""
+    while True:
+        n = int(np.exp(r.uniform(0, np.log(600))))
+        u = r.integers(0, 1 << 64, 2 * n + 20, dtype=np.uint64)
+        if r.random() < 0.5:
+            u = (u[r.integers(0, n // 6 + 1, len(u))] & ~np.uint64((1 << 50) - 1)) | u & np.uint64((1 << 50) - 1)
+        u = r.permutation(np.unique(u))
+        gone, more = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 4 + 1))
+        if gone + more and 5 * (n - gone) >= 4 * (n + more):
+            return np.sort(u[:n]), np.sort(u[gone : n + more]), u
+
+
+def test_similar_sets_meet_in_a_ring_and_pass_its_second_step():
+    r = np.random.default_rng(7)
+    for _ in range(1500):
+        a, b, u = sets_at_the_limit(r)
+        for last in (u[:0], np.sort(u[r.random(len(u)) < r.random()])):
+            (h, v), (k, w) = N.ring_keys(a, last), N.ring_keys(b, last)
+            _, i, j = np.intersect1d(h, k, return_indices=True)
+            assert N.second_near(v[i], w[j]).any(), (a, b, last)
+
+
+def test_segments_are_simhashes_and_the_second_step_tells_those_two_shingles_away():
+    r = np.random.default_rng(3)
+    for n in range(1, 9):
+        x = r.integers(0, 1 << 64, n + 2, dtype=np.uint64)
+        bits = [[(int(h) >> k) & 1 for h in x] for k in range(64)]
+        mark = lambda idx: np.array([(len(idx) << 48) | sum((2 * sum(b[i] for i in idx) > len(idx)) << k for k, b in enumerate(bits[:48]))], np.uint64)  # noqa: B023, E731
+        whole = list(range(n))
+        ones = N._bits(x[:n]).sum(0)[None]
+        assert int(N._simhash(ones, np.array([n]))[0]) & (1 << 48) - 1 == int(mark(whole)[0]) & (1 << 48) - 1
+        assert N.second_near(mark(whole), mark(whole))[0] and N.second_near(mark(whole), mark([*whole, n]))[0] and N.second_near(mark([*whole, n]), mark(whole))[0]
+        assert not N.second_near(mark(whole), mark([*whole, n, n + 1]))[0] and not N.second_near(mark(whole), mark([*whole[1:], n]))[0]
+
+
+def test_links_come_by_the_ring_only(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i], "zz", *base[i + 1 :]])) for i in (5, 50, 180)] + [(100, " ".join(f"v{i}" for i in range(200)))]
+    df = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in P.unique(spark, df, "").collect()) == [5, 100]
+    monkeypatch.setattr(N, "ring_keys", lambda found, last: (np.zeros(0, np.uint64),) * 2)
+    assert sorted(r.doc_id for r in P.unique(spark, df, "").collect()) == [5, 50, 100, 180]
