@@ -1,23 +1,23 @@
 """Building layered graphs point by point, and the maintenance of indexes: marks, replacement, saving and loading.
 
 Insertion is sequential: a point's links depend on all points before. So the points of a shard are inserted by one task, and shards are searched each by itself
-and merged; a graph made from exact neighbours (graph.layered) needs no such order.
+and merged; a graph made from exact neighbours (graph.layered) needs no such order. What m and ef find falls with the size of a shard, so larger tables need more shards.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed_level
-from ..session import stored
-from . import evaluation, knn, traversal
+from ..session import scratch, stored
+from . import evaluation, knn
 
 #: Nodes of a shard that one task inserts, at most.
 MAX_SHARD_ROWS = 1_000_000
@@ -140,15 +140,7 @@ class Layers:
         if self.entry < 0:
             self.entry, self.top = node, level
             return
-        here, far = self.entry, float(self._far([self.entry], vector)[0])
-        for lv in range(self.top, level, -1):
-            while near := self.links[lv][here]:
-                d = self._far(near, vector)
-                k = int(d.argmin())
-                if not d[k] < far:
-                    break
-                here, far = near[k], float(d[k])
-        start = [(far, here)]
+        start = [self._descend(vector, level)]
         for lv in range(min(level, self.top), -1, -1):
             start = self._search(vector, start, lv)
             bound = self.m if lv else 2 * self.m
@@ -164,13 +156,51 @@ class Layers:
         if level > self.top:
             self.entry, self.top = node, level
 
+    def _descend(self, q: np.ndarray, level: int) -> tuple[float, int]:
+        """Distance and node where moving to a strictly nearer neighbour ends, from the top layer down to the one above level."""
+        here, far = self.entry, float(self._far([self.entry], q)[0])
+        for lv in range(self.top, level, -1):
+            while near := self.links[lv][here]:
+                d = self._far(near, q)
+                k = int(d.argmin())
+                if not d[k] < far:
+                    break
+                here, far = near[k], float(d[k])
+        return far, here
+
+    def nearest(self, q: np.ndarray) -> list[tuple[float, int]]:
+        """The ef nearest as a layered search finds them: sorted (distance, node)."""
+        return self._search(q, [self._descend(q, 0)], 0)
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, levels: list[int], links: Iterable[tuple[int, int, int]], m: int, ef: int) -> Layers:
+        """A graph that was built, for searches: the nodes' vectors and levels in the order of insertion, and (level, node, neighbour) in the order of the lists."""
+        made = cls(vectors.shape[1], m, ef)
+        made.vectors, made.count, made.top = vectors, len(levels), max(levels)
+        made.entry = levels.index(made.top)
+        made.links = [{x: [] for x, own in enumerate(levels) if own >= lv} for lv in range(made.top + 1)]
+        for lv, x, y in links:
+            made.links[lv][x].append(y)
+        return made
+
+
+def dealt(vectors: DataFrame, most: int) -> DataFrame:
+    """vectors with shard, for inserted() and searched(): rows are numbered in the order of ids and dealt in turn, so that shards are alike whatever the ids are,
+    and none has more than most rows."""
+    shards = max(1, -(-vectors.count() // most))
+    return _numbered(vectors, "node_id").withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")).drop("k")
+
+
+def _shard(vectors: DataFrame, shards: int) -> Column:
+    return F.col("shard") if "shard" in vectors.columns else F.pmod("node_id", F.lit(shards)).cast("int")
+
 
 def inserted(vectors: DataFrame, m: int, ef: int = 128, shards: int = 1) -> DataFrame:
-    """shard, level, src, dst, pos: links of layered graphs, one for each shard (id modulo shards), whose points are inserted in id order with hashed
-    levels. ValueError if a shard has more than MAX_SHARD_ROWS points."""
-    shard = F.pmod("node_id", F.lit(shards)).cast("int")
-    most = vectors.groupBy(shard.alias("s")).count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_SHARD_ROWS:
+    """shard, level, src, dst, pos: links of layered graphs, one for each shard (id modulo shards, or the column shard where vectors have it), whose points
+    are inserted in id order with hashed levels. ValueError if a shard has more than MAX_SHARD_ROWS points."""
+    shard = _shard(vectors, shards)
+    most, n = vectors.groupBy(shard.alias("s")).count().agg(F.max("count"), F.count("*")).first()
+    if (most or 0) > MAX_SHARD_ROWS:
         raise ValueError("a shard has too many points for one task; use more shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +222,50 @@ def inserted(vectors: DataFrame, m: int, ef: int = 128, shards: int = 1) -> Data
         yield from told()
 
     rows = vectors.select(shard.alias("shard"), F.col("node_id").cast("long"), hashed_level(F.col("node_id"), m).alias("level"), "embedding")
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "node_id").mapInArrow(run, "shard int, level int, src long, dst long, pos int")
+    return rows.repartition(max(1, n), "shard").sortWithinPartitions("shard", "node_id").mapInArrow(run, "shard int, level int, src long, dst long, pos int")
+
+
+def searched(queries: DataFrame, vectors: DataFrame, edges: DataFrame, m: int, ef: int, k: int, shards: int = 1) -> DataFrame:
+    """qid, rank, node_id, dist: the k nearest (ef at most) of layered searches in all shards of inserted(), each by itself, merged. vectors, m and shards as
+    they were told to it. A task holds one shard at a time and a block of the queries; blocks are taken as in knn.knn()."""
+    spark = vectors.sparkSession
+    asked = queries.select(F.col("qid").cast("long"), "embedding")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = vectors.select(_shard(vectors, shards).alias("shard")).distinct().count()
+    if not n or not parts:
+        return spark.createDataFrame([], "qid long, rank int, node_id long, dist double")
+    nodes = vectors.select(_shard(vectors, shards).alias("shard"), F.col("node_id").cast("long"), hashed_level(F.col("node_id"), m).alias("level"), "embedding")
+    links = edges.select("shard", "level", "src", "dst", "pos").repartition(parts, "shard").groupBy("shard")
+    both = nodes.repartition(parts, "shard").groupBy("shard").cogroup(links)
+
+    def scan(some: DataFrame) -> DataFrame:
+        held = some.toArrow()
+        block = spark.sparkContext.broadcast((held.column("qid").to_pylist(), knn._matrix(held.column("embedding").combine_chunks(), dim)))
+
+        def run(own: pa.Table, near: pa.Table) -> pa.Table:
+            own, near = own.sort_by("node_id"), near.sort_by([(c, "ascending") for c in ("level", "src", "pos")])
+            ids = own.column("node_id").to_numpy()
+            src, dst = (np.searchsorted(ids, near.column(c).to_numpy()).tolist() for c in ("src", "dst"))
+            matrix = knn._matrix(own.column("embedding").combine_chunks(), dim)
+            layers = Layers.of(matrix, own.column("level").to_pylist(), zip(near.column("level").to_pylist(), src, dst, strict=True), m, ef)
+            found = [(qid, int(ids[x]), d) for qid, q in zip(*block.value, strict=True) for d, x in layers.nearest(q)[:k]]
+            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "node_id", "dist"])
+
+        return knn.top_k(both.applyInArrow(run, "qid long, node_id long, dist double"), k).select("qid", "rank", "node_id", "dist")
+
+    blocks = -(-n * 8 * dim // knn.BLOCK_BYTES)
+    if blocks == 1:
+        return scan(asked)
+    at = scratch(spark, "searched")
+    for block in range(blocks):
+        scan(asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)).write.parquet(f"{at}/block={block}")
+    return spark.read.parquet(at).select("qid", "rank", "node_id", "dist")
 
 
 def recall_of(vectors: DataFrame, edges: DataFrame, queries: DataFrame, ef: int) -> float:
-    """Recall at 10 of the layered search over one shard's edges."""
-    top = edges.agg(F.max("level")).first()[0]
-    own = vectors.select("node_id", hashed_level(F.col("node_id"), 8).alias("level"))
-    entry = own.where(F.col("level") == own.agg(F.max("level")).first()[0]).agg(F.min("node_id")).first()[0]
-    found = traversal.layered_search(queries, vectors, edges, entry, top, ef)
-    found = knn.top_k(found.drop("rank").where("qid <> node_id"), 10)
+    """Recall at 10 of the layered searches over the shards of edges, made with m = 8."""
+    found = searched(queries, vectors, edges, 8, ef, 11).drop("rank")  # the query itself may be one of them
+    found = knn.top_k(found.where("qid <> node_id"), 10)
     return evaluation.recall_at(found, knn.knn(queries, vectors, 10), [10]).first().recall
 
 
@@ -234,11 +298,11 @@ def replace_deleted(vectors: DataFrame, new: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame, by: str) -> DataFrame:
     """rows with k, their number from 0 in the order of by: ranges are sorted by themselves, and counts of those before are added."""
-    dealt = rows.repartitionByRange(by).withColumn("part", F.spark_partition_id())
-    dealt = stored(dealt, "dealt")
-    before = dealt.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranges = rows.repartitionByRange(by).withColumn("part", F.spark_partition_id())
+    ranges = stored(ranges, "dealt")
+    before = ranges.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(before.select("part", "before")), "part").select(by, (F.col("own") + F.col("before")).alias("k"))
+    return ranges.withColumn("own", own).join(F.broadcast(before.select("part", "before")), "part").select(*rows.columns, (F.col("own") + F.col("before")).alias("k"))
 
 
 def save(path: str, vectors: DataFrame, edges: DataFrame, entry: int) -> None:

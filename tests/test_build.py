@@ -236,3 +236,42 @@ def test_a_node_without_place_is_taken_in():
     made._prune(0, 0, 2)
     assert len(made.links[0][0]) == 2 and min(sum(y in n for n in made.links[0].values()) for y in range(6)) == 1
     assert {y: sum(y in n for n in made.links[0].values()) for y in range(6)} == made.into[0]
+
+
+def test_recall_of_inserted_points_holds_in_larger_tables(spark, tmp_path):
+    """More points than m and ef find in one graph: they are dealt to shards, whatever their ids."""
+    from sparkann.plans import file_queries
+    from sparkann.session import ship
+
+    ship(spark)
+    x = np.random.default_rng(13).normal(size=(3000, 64))
+    rows = [(30 * i, [float(e) for e in v / np.linalg.norm(v)], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in file_queries.x4_inserted_points(spark, str(tmp_path)).collect()] == [(3000, 0, 0, 0, True, True)]
+
+
+def test_dealt_evenly_in_the_order_of_ids(spark):
+    v = table(spark, np.eye(23)).select((F.col("node_id") * 12 - 60).alias("node_id"), "embedding")
+    got = build.dealt(v, 4).orderBy("node_id").collect()
+    assert [r.shard for r in got] == [k % 6 for k in range(23)] and [r.node_id for r in got] == [12 * k - 60 for k in range(23)]
+    assert [list(r.embedding) for r in got] == np.eye(23).tolist()
+    assert build.dealt(v, 23).agg(F.max("shard")).first()[0] == 0 and build.dealt(v.limit(0), 4).isEmpty()
+
+
+def test_shards_are_searched_as_layered_graphs(spark, monkeypatch):
+    """Each shard by the layered search, what they find merged; also with more queries than fit a block."""
+    v = build.dealt(table(spark, np.random.default_rng(14).normal(size=(500, 6))), 170).checkpoint()
+    edges = build.inserted(v, 4, 12).checkpoint()
+    q = v.where("node_id % 10 = 0").select(F.col("node_id").alias("qid"), "embedding").checkpoint()
+    parts = []
+    for s in range(3):
+        own, links = v.where(F.col("shard") == s), edges.where(F.col("shard") == s)
+        level = build.hashed_level(F.col("node_id"), 4)
+        entry = own.select("node_id", level.alias("l")).orderBy(F.desc("l"), "node_id").first()
+        parts.append(traversal.layered_search(q, own.drop("shard"), links, entry.node_id, entry.l, 12))
+    want = {tuple(r) for r in knn.merge(parts, 7).select("qid", "rank", "node_id", "dist").collect()}
+    rows = build.searched(q, v, edges, 4, 12, 7).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) == 350
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1000)
+    assert {tuple(r) for r in build.searched(q, v, edges, 4, 12, 7).collect()} == want
+    assert build.searched(q.limit(0), v, edges, 4, 12, 7).isEmpty() and build.searched(q, v.limit(0), edges, 4, 12, 7).isEmpty()
